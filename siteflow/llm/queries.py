@@ -41,3 +41,39 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(docs, tokenizer_file("word_bpe_49k.json"), decoded="decoded")
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query
+def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import COUNTS, quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_documents
+
+    found = scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("spans", lambda s: s.kind != "token")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _oracles() -> None:
+    from .mixing import MIX_SQL
+
+    ORACLE["op8_systematic_mix"] = MIX_SQL
+
+
+_oracles()
