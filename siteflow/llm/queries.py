@@ -139,3 +139,10 @@ def _more_oracles() -> None:
 
 
 _more_oracles()
+
+
+@query
+def op3_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_paths import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
