@@ -146,3 +146,10 @@ def op3_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_paths import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
