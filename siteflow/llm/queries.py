@@ -153,3 +153,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weighted_sampling import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
