@@ -64,8 +64,8 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     h = np.array([_WORDS[w] for w in words], dtype=np.uint64)
     k = min(n, len(h))
     total = np.full(len(h) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        total += mix(h[i : len(h) - k + 1 + i] + np.uint64(i)) * PRIMES[i % 5]
+    for i in range(k):  # words' hashes are random, so a sum with odd factors tells shingles apart
+        total += h[i : len(h) - k + 1 + i] * (PRIMES[i % 5] + np.uint64(2 * (i // 5)))
     return np.unique(mix(total))
 
 
@@ -99,10 +99,15 @@ def _seed(band: int) -> np.uint64:
     return mix(np.array([band + 1], dtype=np.uint64) * PRIMES[0])[0]
 
 
+def places(value: np.ndarray, m: int) -> np.ndarray:
+    """The segment of each value."""
+    return ((value >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+
+
 def subsets(hashes: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Filled segments with their subset's sum and size, and all shingles' values and segments, in segment order."""
     value = mix(hashes + _seed(band))
-    where = ((value >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    where = places(value, m)
     order = np.argsort(where, kind="stable")
     value, where = value[order], where[order]
     seg, first, size = np.unique(where, return_index=True, return_counts=True)
@@ -162,7 +167,7 @@ def document_sets(docs: DataFrame, rule: Rule, n: int = 5, doc: str = "doc_id",
                         continue
                     band = rule.band(len(h))
                     need = rule.need(len(h))
-                    filled = len(subsets(h, band, rule.segments(band))[0]) if len(h) < 8 * rule.segments(band) else need
+                    filled = int(np.count_nonzero(np.bincount(places(mix(h + _seed(band)), rule.segments(band)))))
                     short = rows_of(h, rule, frozenset())[3] if filled < need else False
                     rows.append((len(h), set_key(h), band if filled < need else None, short))
                 cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
@@ -250,7 +255,7 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, n: int = 5, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, n: int = 5, rounds: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) for each row of docs(doc_id, text).
 
     Null and blank texts have no shingles and are linked with nothing: component_id is their doc_id. Repeated rows give
@@ -289,14 +294,19 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, n: int = 5, rou
         sets = keep(set_table(docs, involved, n), "hashes")
         label = bucket.select("node").distinct().select("node", F.col("node").alias("label"))
         left = bucket.withColumn("label", F.col("node"))
+        worth = True  # whether another round with one node of each bucket is
         for step in range(rounds + 1):
-            mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "label")).alias("star")).where("lo != hi")
+            # nodes in many large buckets are the likeliest to be near all others of them; every third round takes others
+            known = left.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).groupBy("node").agg(F.sum("n").alias("fame"))
+            fame = F.col("fame") if step % 3 < 2 else F.lit(0)
+            rows = left.join(known, "node")
+            mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(fame.alias("fame"), F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "label")).alias("star")).where("lo != hi")
             left = keep(left.join(mixed.select("sig", "star"), "sig"), "open")
             if not left.take(1):
                 break
             star = F.col("star")
             other = (star.getField("label") != F.col("label")) & alike(star.getField("size"), F.col("size"))
-            if step < rounds and _pairs_left(left) > 4 * left.count():
+            if step < rounds and worth and _pairs_left(left) > left.select("node").distinct().count():
                 star_pairs = left.where(other).select(F.least("node", star.getField("node")).alias("a"), F.greatest("node", star.getField("node")).alias("b"), F.col("node").alias("of")).groupBy("of", "a", "b").agg(F.count("*").alias("times"))
                 best = star_pairs.groupBy("of").agg(F.max(F.struct("times", "a", "b")).alias("p"))
                 pairs = best.select("p.a", "p.b").distinct()
@@ -305,7 +315,9 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, n: int = 5, rou
                 crossed = one.join(two, "sig").where((F.col("la") != F.col("lb")) & (F.col("sb") <= F.col("sa")) & alike(F.col("sa"), F.col("sb")))
                 pairs, step = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rounds
             links = keep(verify(pairs, sets, rule), "verified")
-            if links.take(1):
+            found = links.count()
+            worth = found > 0.02 * left.select("node").distinct().count()
+            if found:
                 known = label.select(F.col("node").alias("a"), F.col("label").alias("la"))
                 links = links.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
                 merged = components(links).select(F.col("node").alias("label"), F.col("label").alias("root"))
