@@ -16,6 +16,7 @@ always makes (``Encoder``), which is where nearly all of its time goes.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,17 +51,25 @@ class Encoder:
         self.pieces = BLANKS_COUNT if kind == "ByteLevel" else BLANKS_DROP
         self.cached, self.longest = cached, longest_piece
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.places: dict[str, bytes] = {}
         self.table: list[str] | None = None
 
     def learn(self, new: set[str]) -> None:
+        """Put pieces into the cache, from the last full one where it has them."""
         if len(self.ids) + len(new) > self.cached:
-            self.ids.clear()
-        todo = list(new)
+            self.ids, self.older = {}, self.ids
+        ids, older = self.ids, self.older
+        todo = []
+        for piece in new:
+            if (known := older.get(piece)) is None:
+                todo.append(piece)
+            else:
+                ids[piece] = known
         for at in range(0, len(todo), 20_000):
             some = todo[at : at + 20_000]
-            for piece, e in zip(some, self.t.encode_batch(some, add_special_tokens=False), strict=True):
-                self.ids[piece] = np.array(e.ids, "<i4").tobytes()
+            for piece, e in zip(some, self.t.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids[piece] = array("i", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -75,6 +84,7 @@ class Encoder:
                 if len(known) + len(new) > self.cached:  # the cache starts anew: all pieces of these texts are needed
                     new = {p for c in cut if c is not None for p in c}
                 self.learn(new)
+                known = self.ids
             for x, c in zip(some, cut, strict=True):
                 out.append(np.array(whole(x, add_special_tokens=False).ids, "<i4").tobytes() if c is None else b"".join([known[p] for p in c]))
         return out
