@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteflow.functions import geo
-from siteflow.operators import compare, placement, prepare, service
+from siteflow.operators import compare, placement, prepare, service, variants
 from siteflow.sources.tables import DEMAND_SQL, FACILITY_SQL, RECORD_SQL, demand, facilities, records, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +270,52 @@ def placements(spark, sf_dir):
     some = spark.createDataFrame([("mclp", 10, 20.0, 0), ("p_median", 10, 0.0, 0), ("k_means", 10, 0.0, 42), ("ward", 10, 0.0, 0), ("complete", 10, 0.0, 0), ("average", 10, 0.0, 0), ("dbscan", 0, 3.0, 0)], "method string, k int, radius_km double, seed int")
     pool = d.orderBy(F.desc("w"), "prefix").limit(400)  # the study's size: linkage needs all pairs of a scenario
     return placement.place(pool, top, some)
+
+
+_SPREAD = f"""{DEMAND_SQL}, {FACILITY_SQL}, {_VALID[_VALID.index("rec AS"):]}, cnt AS (SELECT prefix, count(*) AS n FROM ok GROUP BY prefix),
+  pts AS (SELECT row_number() OVER () AS id, * FROM (SELECT ok.lat, ok.lng, demand.w / CAST(n AS DOUBLE) AS w FROM ok JOIN demand USING (prefix) JOIN cnt USING (prefix) UNION ALL SELECT lat, lng, CAST(w AS DOUBLE) FROM demand WHERE prefix NOT IN (SELECT prefix FROM cnt))),
+  far AS (SELECT any_value(w) AS w, round(min({D_SQL}), 9) AS d FROM pts, facility GROUP BY id), run AS (SELECT d, w, sum(w) OVER (ORDER BY d) AS c FROM far), tot AS (SELECT sum(w) AS t FROM far)"""
+
+
+@query(f"WITH {_SPREAD} SELECT round(max(t), 6) AS orders, round(sum(CASE WHEN d <= 20 THEN w ELSE 0 END), 6) AS covered, round(100 * sum(CASE WHEN d <= 20 THEN w ELSE 0 END) / max(t), 6) AS pct, " + ", ".join(f"round(coalesce(min(d) FILTER (c >= t * {p / 100}::DOUBLE - 1e-9 * t), max(d)), 6) AS p{p}" for p in (50, 95, 99)) + " FROM run, tot")
+def fractional_service(spark, sf_dir):
+    points = prepare.validate(records(spark, sf_dir)).where("status = 'valid'")
+    return variants.fractional_service(service.nearest(variants.spread(demand(spark, sf_dir), points), facilities(spark, sf_dir)), 20.0)
+
+
+_CAND2_SQL = CAND_SQL.replace("cand AS", "cand2 AS").replace("prefix) AS rank", "prefix DESC) AS rank").replace("prefix LIMIT", "prefix DESC LIMIT")
+
+
+@query(f"WITH {DEMAND_SQL}, {CAND_SQL}, {_CAND2_SQL} SELECT f, 'entered' AS change FROM cand2 WHERE f NOT IN (SELECT f FROM cand) UNION ALL SELECT f, 'exited' FROM cand WHERE f NOT IN (SELECT f FROM cand2)")
+def candidate_change(spark, sf_dir):
+    d = demand(spark, sf_dir)
+    return variants.set_change(service.rank_candidates(d, 60), service.rank_candidates(d, 60, prefix_desc=True), "f")
+
+
+_RES = f"""res AS (SELECT radius_km, method, v AS variant, min(k) FILTER (covered * 100 >= v * t) AS k FROM (SELECT *, 'ranked' AS method FROM curve UNION ALL SELECT *, 'reversed' FROM curve2), (SELECT sum(w) AS t FROM demand), (SELECT unnest([1, 4, 8]) AS v) GROUP BY ALL),
+  span AS (SELECT radius_km, method, min(k) AS lo, max(k) AS hi, count(k) AS n FROM res GROUP BY ALL)"""
+
+
+@query(f"""WITH {DEMAND_SQL}, {CAND_SQL}, {_CAND2_SQL}, {CURVE_SQL}, {CURVE_SQL.replace("curve AS", "curve2 AS").replace("cand", "cand2")}, {_RES}
+  SELECT a.radius_km, a.method AS method_a, b.method AS method_b, a.lo AS lo_a, a.hi AS hi_a, b.lo AS lo_b, b.hi AS hi_b, CASE WHEN a.n < 3 OR b.n < 3 THEN 'incomplete_variants_no_classification' WHEN a.lo <= b.hi AND b.lo <= a.hi THEN 'absence_of_robust_descriptive_separation'
+    WHEN (SELECT bool_and(x.k < y.k) OR bool_and(x.k > y.k) FROM res x JOIN res y USING (radius_km, variant) WHERE x.radius_km = a.radius_km AND x.method = a.method AND y.method = b.method) THEN 'stable_observed_order' ELSE 'order_changes_between_variants' END AS label
+  FROM span a JOIN span b ON a.radius_km = b.radius_km AND a.method < b.method""")
+def method_agreement(spark, sf_dir):
+    """Two candidate orders as methods, three coverage shares as variants."""
+    d = demand(spark, sf_dir)
+    total = int(d.agg(F.sum("w")).first()[0] or 0)
+    curve = lambda desc, name: service.rank_curve(d, service.rank_candidates(d, 60, prefix_desc=desc), RADII).withColumn("method", F.lit(name))
+    both = curve(False, "ranked").unionByName(curve(True, "reversed")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in (1, 4, 8)])))
+    least = both.groupBy("radius_km", "method", "variant").agg(F.min(F.when(F.col("covered") * 100 >= F.col("variant") * total, F.col("k"))).cast("long").alias("k"))
+    return variants.agreement(least, 3)
+
+
+@query(f"WITH {DEMAND_SQL}, {_VALID[_VALID.index('rec AS'):]} SELECT prefix, city, w FROM demand WHERE prefix IN (SELECT prefix FROM ok GROUP BY prefix HAVING 2 * count(*) FILTER {_IN} >= count(*))")
+def cohort_inside(spark, sf_dir):
+    points = prepare.validate(records(spark, sf_dir)).where("status = 'valid'").select("record", "prefix", "lat", "lng")
+    return variants.cohort(demand(spark, sf_dir), prepare.shares_inside(prepare.inside(points, edges(spark))), ties=True).select("prefix", "city", "w")
+
+
+@query(WITH_NEAR + "," + _PROFILE + " UNION ALL ".join(f"SELECT CAST(city AS BIGINT) AS city, '{c}' AS field, CAST({c} AS DOUBLE) AS value, 'city_profile' AS source FROM profile" for c in ("orders", "covered", "outside", "pct", "mean_km", "max_km")))
+def profile_catalogue(spark, sf_dir):
+    return variants.catalogue(_profile(spark, sf_dir), ["city"], F.lit("city_profile"))

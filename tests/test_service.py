@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siteflow.functions import geo
-from siteflow.operators import compare, placement, prepare, service
+from siteflow.operators import compare, placement, prepare, service, variants
 
 
 def one(spark, column):
@@ -126,3 +126,27 @@ def test_queries_equal_sql(spark, name):
 def test_placements(spark):
     rows = entry.queries()["placements"](spark, "/root/testdata/sf0.001").collect()
     assert {r.method for r in rows} == {"mclp", "p_median", "k_means", "ward", "complete", "average", "dbscan"}
+
+
+def test_outside_lengths(spark):
+    ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    hole = [(4, 4), (6, 4), (6, 6), (4, 6)]
+    edges = [(*map(float, a), *map(float, b)) for r in (ring, hole) for a, b in zip(r, r[1:] + r[:1])]
+    lines = [(1, -5.0, 5.0, 15.0, 5.0), (2, 1.0, 1.0, 3.0, 1.0), (3, 20.0, 0.0, 20.0, 4.0), (4, -5.0, 1.0, 5.0, 1.0), (5, 2.0, 2.0, 2.0, 2.0)]
+    found = variants.outside_lengths(spark.createDataFrame(lines, "line int, ax double, ay double, bx double, by double"), spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")).collect()
+    assert {r.line: round(r.outside, 9) for r in found} == {1: 12.0, 2: 0.0, 3: 4.0, 4: 5.0, 5: 0.0}
+
+
+def test_spread_keeps_orders_and_hash_ignores_order(spark):
+    d = line(spark, [0, 3], [5, 2])
+    points = spark.createDataFrame([(7, 0, 0.0, 0.0), (8, 0, 0.0, 0.0)], "record long, prefix long, lat double, lng double")
+    out = variants.spread(d, points)
+    assert sorted(r.w for r in out.collect()) == [2.0, 2.5, 2.5]
+    assert variants.content_hash(d).first() == variants.content_hash(d.orderBy(F.desc("prefix"))).first()
+    assert variants.content_hash(d).first().hash != variants.content_hash(d.where("prefix = 0")).first().hash
+
+
+def test_agreement(spark):
+    rows = [(5.0, v, m, k) for v, a, b, c in ((1, 3, 7, 1), (2, 4, 8, None)) for m, k in (("a", a), ("b", b), ("c", c))]
+    found = variants.agreement(spark.createDataFrame(rows, "radius_km double, variant int, method string, k int"), 2).collect()
+    assert {r.method_a + r.method_b: r.label for r in found} == {"ab": "stable_observed_order", "ac": "incomplete_variants_no_classification", "bc": "incomplete_variants_no_classification"}
