@@ -266,10 +266,9 @@ def geodesic_error(spark, sf_dir):
 @query()
 def placements(spark, sf_dir):
     d = demand(spark, sf_dir)
-    top = service.rank_candidates(d, 40)
+    top = service.rank_candidates(d, 300)
     some = spark.createDataFrame([("mclp", 10, 20.0, 0), ("p_median", 10, 0.0, 0), ("k_means", 10, 0.0, 42), ("ward", 10, 0.0, 0), ("complete", 10, 0.0, 0), ("average", 10, 0.0, 0), ("dbscan", 0, 3.0, 0)], "method string, k int, radius_km double, seed int")
-    pool = d.orderBy(F.desc("w"), "prefix").limit(400)  # the study's size: linkage needs all pairs of a scenario
-    return placement.place(pool, top, some)
+    return placement.place(d, top, some)
 
 
 _SPREAD = f"""{DEMAND_SQL}, {FACILITY_SQL}, {_VALID[_VALID.index("rec AS"):]}, cnt AS (SELECT prefix, count(*) AS n FROM ok GROUP BY prefix),

@@ -128,6 +128,30 @@ def test_placements(spark):
     assert {r.method for r in rows} == {"mclp", "p_median", "k_means", "ward", "complete", "average", "dbscan"}
 
 
+def test_placements_use_every_row(spark):
+    """Sites and centres of sf0.01 equal those of the whole-matrix kernels over all demand rows and 300 candidates."""
+    from siteflow.sources.tables import demand
+
+    sf = "/root/testdata/sf0.01"
+    p = demand(spark, sf).orderBy("prefix").toPandas()
+    assert len(p) > 400
+    c = p.sort_values(["w", "prefix"], ascending=[False, True]).head(300)
+    lat, lng, w = (p[x].to_numpy(float) for x in ("lat", "lng", "w"))
+    d = placement.distances(lat, lng, c.lat.to_numpy(), c.lng.to_numpy())
+    full = placement.distances(lat, lng, lat, lng)
+    xy = np.column_stack([lat, lng])
+    labels = {"k_means": placement.k_means(xy, w, 10, 42), "dbscan": placement.dbscan(full, 3.0), "ward": placement.agglomerate(((xy[:, None] - xy[None]) ** 2).sum(2), "ward", 10)}
+    labels |= {m: placement.agglomerate(full, m, 10) for m in ("complete", "average")}
+    mean = lambda x, g: [np.average(x[g == i], weights=w[g == i]) for i in range(g.max() + 1)]
+    got = {}
+    for r in entry.queries()["placements"](spark, sf).orderBy("method", "step").collect():
+        got.setdefault(r.method, []).append((r.site, r.flat, r.flng))
+    assert [s for s, _, _ in got["mclp"]] == list(c.prefix.iloc[placement.max_cover(d, w, 20.0, 10)])
+    assert [s for s, _, _ in got["p_median"]] == list(c.prefix.iloc[placement.p_median(d, w, 10)])
+    for m, g in labels.items():
+        assert np.allclose([x[1:] for x in got[m]], np.column_stack([mean(lat, g), mean(lng, g)]), atol=1e-9), m
+
+
 def test_outside_lengths(spark):
     ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
     hole = [(4, 4), (6, 4), (6, 6), (4, 6)]
