@@ -157,6 +157,20 @@ def first_feasible_k(spark, sf_dir):
     return service.first_feasible(service.rank_curve(d, service.rank_candidates(d, 60), RADII), int(total))
 
 
+@query()
+def mclp_trajectory(spark, sf_dir):
+    d = demand(spark, sf_dir)
+    return placement.trajectories(d, service.rank_candidates(d, 300), RADII)
+
+
+@query()
+def mclp_first_feasible_k(spark, sf_dir):
+    """A row for each radius, and a second one of scope all_candidates where the 300 candidates miss the target."""
+    d = demand(spark, sf_dir)
+    total = d.agg(F.sum("w")).first()[0] or 0
+    return service.first_feasible(mclp_trajectory(spark, sf_dir), int(total), ("radius_km", "scope"))
+
+
 _SCEN = f"""scen AS (SELECT radius_km, k, seed, covered + (k * 13 + seed * 7) % 5 * 40 AS covered, covered + (k * 13 + seed * 7) % 5 * 40 >= t AS ok FROM curve, (SELECT (sum(w) * 95 + 99) // 100 AS t FROM demand), (SELECT unnest(range(5)) AS seed))"""
 
 

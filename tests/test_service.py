@@ -152,6 +152,31 @@ def test_placements_use_every_row(spark):
         assert np.allclose([x[1:] for x in got[m]], np.column_stack([mean(lat, g), mean(lng, g)]), atol=1e-9), m
 
 
+def test_trajectories(spark):
+    """61 far places need 58 sites; 20 candidates miss the target, all of them reach it. Prefixes equal max_cover."""
+    d = line(spark, range(0, 6100, 100), [1] * 61)
+    rows = placement.trajectories(d, service.rank_candidates(d, 20), (10.0, 150.0)).orderBy("radius_km", "scope", "k").collect()
+    found = {(r.radius_km, r.scope): r for r in service.first_feasible(spark.createDataFrame(rows), 61, ("radius_km", "scope")).collect()}
+    assert set(found) == {(10.0, "main"), (10.0, "all_candidates"), (150.0, "main"), (150.0, "all_candidates")}
+    assert (found[10.0, "main"].status, found[10.0, "main"].ceiling, found[10.0, "all_candidates"].k_selected) == ("structurally_infeasible", 20, 58)
+    assert found[150.0, "main"].ceiling == 21 and found[150.0, "all_candidates"].k_selected == 20
+    r = np.random.default_rng(4)
+    for _ in range(10):
+        lat, lng, w = r.uniform(-23, -22, 80), r.uniform(-44, -43, 80), r.integers(1, 9, 80)
+        m = placement.distances(lat, lng, lat[:30], lng[:30])
+        chosen, covered = placement.cover_trajectory(lat, lng, w, lat[:30], lng[:30], 20.0)
+        assert chosen == placement.max_cover(m, w, 20.0, 30)
+        assert covered == [w[(m[:, chosen[:k]] <= 20).any(1)].sum() for k in range(1, len(chosen) + 1)]
+
+
+def test_first_feasible_takes_300_candidates(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {(r.radius_km, r.scope): r for r in entry.queries()["mclp_first_feasible_k"](spark, sf).collect()}
+    ranked = {r.radius_km: r for r in entry.queries()["first_feasible_k"](spark, sf).collect()}
+    assert ranked[10.0].status == "structurally_infeasible" and got[10.0, "main"].status == "selected"
+    assert all(got[x, "main"].ceiling >= r.ceiling for x, r in ranked.items())
+
+
 def test_outside_lengths(spark):
     ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
     hole = [(4, 4), (6, 4), (6, 6), (4, 6)]
