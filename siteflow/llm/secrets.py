@@ -2,7 +2,8 @@
 
 A random string falls into many tokens of a BPE vocabulary, prose into few: a candidate with fewer than
 ``least_ratio`` characters a token is a secret of kind ``token``, unless it is a digest (hex of a known length), a
-UUID, a number, an address or an identifier made of plain words.
+UUID, a number, or an identifier of the shape and the words of plain ones. What is left of a candidate outside the spans
+of known forms is tested too, and of one that isn't a secret as a whole each part between separators.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})\Z")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
 PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|[0-9]+)(?:[-_/=+]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}(?![A-Za-z])))*[-_/=+]*\Z")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
+RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -39,6 +42,30 @@ def vocabulary(path: str):  # noqa: ANN201
     return tiktoken.Encoding("secrets", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _outside(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """A candidate's place; where base spans overlap it, those of its parts of 16 characters or more outside them."""
+    cut = [(b, e) for b, _, e in base if b < end and e > start]
+    if not cut:
+        return [(start, end)]
+    parts, at = [], start
+    for b, e in cut:
+        parts.append((at, b))
+        at = max(at, e)
+    return [(s, e) for s, e in [*parts, (at, end)] if e - s >= 16]
+
+
+def _known(x: str, encoding, least_ratio: float) -> bool:  # noqa: ANN001
+    """Whether each run of letters is one token or as long for its tokens as prose is."""
+    counts = ((len(r), len(encoding.encode_ordinary(" " + r.lower()))) for r in RUN.findall(x))
+    return all(n == 1 or k >= least_ratio * n for k, n in counts)
+
+
+def _secret(x: str, encoding, least_ratio: float) -> bool:  # noqa: ANN001
+    if not any(c.isalpha() for c in x) or DIGEST.match(x) or UUID.match(x):
+        return False
+    return len(x) < least_ratio * len(encoding.encode_ordinary(x)) and not (PLAIN.match(x) and _known(x, encoding, least_ratio))
+
+
 def scan(text: str, encoding, least_ratio: float = 2.2) -> list[tuple[str, int, int]]:  # noqa: ANN001
     """(kind, start, end) by start, then kind; places in code points."""
     found: list[tuple[int, int, int]] = []
@@ -50,13 +77,11 @@ def scan(text: str, encoding, least_ratio: float = 2.2) -> list[tuple[str, int,
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(found)
     for m in CANDIDATE.finditer(text):
-        s, x = m.start(), m.group()
-        if not (any(c.isdigit() for c in x) and any(c.isalpha() for c in x)):
-            continue
-        if any(b < m.end() and e > s for b, _, e in base) or DIGEST.match(x) or UUID.match(x) or PLAIN.match(x):
-            continue
-        if len(x) < least_ratio * len(encoding.encode_ordinary(x)):
-            found.append((s, 3, m.end()))
+        for s, e in _outside(m.start(), m.end(), base):
+            if _secret(text[s:e], encoding, least_ratio):
+                found.append((s, 3, e))
+            elif not UUID.match(text[s:e]):
+                found += [(s + p.start(), 3, s + p.end()) for p in PART.finditer(text[s:e]) if p.end() - p.start() < e - s and _secret(p.group(), encoding, least_ratio)]
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 

@@ -150,6 +150,17 @@ def test_secret_patterns_against_plain_ones():
         assert [s for s in secrets.scan(t, enc) if s[0] != "token"] == sorted(want, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
 
 
+def test_secrets_of_letters_shapes_and_parts():
+    enc = secrets.vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
+    key = "Zx9qK2vT7wLp4Rb8Nc3D"
+    for x in ("xkqzvwpjrtmb1234", "XKQZVWPJRTMB1234", "qZvXkWpJrTmBgHdL", "XKQZVWPJRTMBGHDL"):
+        assert secrets.scan(f"see {x} here", enc) == [("token", 4, 20)], x
+    for t in (f"/0123456789abcdef/{key}", f"/usr/share/documents/projects/information/{key}/settings"):
+        assert key not in secrets.redact(t, secrets.scan(t, enc)), t
+    for x in ("internationalization", "customer_order_id_2024", "application-settings-42", "D41D8CD98F00B204E9800998ECF8427E", "123E4567-E89B-12D3-A456-426614174000", "1234-5678-1234-5678", "getCustomerOrderName"):
+        assert secrets.scan(x, enc) == [], x
+
+
 def test_quality(spark, docs):
     import re
 
