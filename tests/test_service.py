@@ -177,6 +177,13 @@ def test_first_feasible_takes_300_candidates(spark):
     assert all(got[x, "main"].ceiling >= r.ceiling for x, r in ranked.items())
 
 
+def test_text_keys_keep_long_keys(spark, tmp_path):
+    rows = [(7, " BUILDING "), (99999, "MACHINERY"), (100000, "MACHINERY"), (1234567, "BUILDING")]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.prefix: (r.key5, r.segment) for r in entry.queries()["text_keys"](spark, str(tmp_path)).collect()}
+    assert got == {7: ("00007", "building"), 99999: ("99999", "machinery"), 100000: (None, "machinery"), 1234567: (None, "building")}
+
+
 def test_outside_lengths(spark):
     ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
     hole = [(4, 4), (6, 4), (6, 6), (4, 6)]
