@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from siteflow.functions.geo import cover_target, haversine
 
-#: Rows up to which the facility side is broadcast; beyond it the nearest is found by cells.
+#: Rows up to which the facility side is broadcast; beyond it both sides of the product stay distributed.
 BROADCAST_ROWS = 200_000
 
 
 def pairs(demand: DataFrame, sites: DataFrame, metric=haversine) -> DataFrame:  # noqa: ANN001
-    """All demand and site pairs with their distance d; the site side must be small."""
-    if sites.count() > BROADCAST_ROWS:
-        raise ValueError("too many sites for all pairs: use within()")
-    return demand.join(F.broadcast(sites)).withColumn("d", metric(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng")))
+    """All demand and site pairs with their distance d."""
+    other = F.broadcast(sites) if sites.count() <= BROADCAST_ROWS else sites
+    return demand.crossJoin(other).withColumn("d", metric(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng")))
 
 
 def within(demand: DataFrame, sites: DataFrame, km: float) -> DataFrame:

@@ -184,6 +184,13 @@ def test_text_keys_keep_long_keys(spark, tmp_path):
     assert got == {7: ("00007", "building"), 99999: ("99999", "machinery"), 100000: (None, "machinery"), 1234567: (None, "building")}
 
 
+def test_nearest_beyond_the_broadcast_bound(spark, monkeypatch):
+    d, f = line(spark, range(0, 60, 3), [1] * 20), sites(spark, [0, 30.5, 31.5])
+    want = sorted(service.nearest(d, f).collect())
+    monkeypatch.setattr(service, "BROADCAST_ROWS", 2)
+    assert sorted(service.nearest(d, f).collect()) == want and len(want) == 20
+
+
 def test_outside_lengths(spark):
     ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
     hole = [(4, 4), (6, 4), (6, 6), (4, 6)]
