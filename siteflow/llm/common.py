@@ -35,15 +35,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete what keep() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {os.path.dirname(x) for x in df.inputFiles()}:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
+def drop(*frames: DataFrame) -> None:
+    """Delete what keep() wrote for these, once nothing reads it any more."""
+    for df in frames:
+        spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

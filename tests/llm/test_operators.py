@@ -115,6 +115,32 @@ def test_near_duplicates(spark, docs):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    base, rows = words(150, 3).split(), []
+    for k in range(400):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 8])):
+            w[r.randrange(len(w))] = f"edit{r.random()}"
+        rows.append((k, " ".join(w)))
+    compared, narrowed = [], []
+    verify, narrow = jaccard_join.verify, jaccard_join.narrow
+    monkeypatch.setattr(jaccard_join, "verify", lambda pairs, *more: compared.append(pairs.count()) or verify(pairs, *more))
+    monkeypatch.setattr(jaccard_join, "narrow", lambda *all_: narrowed.append(1) or narrow(*all_))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(x) for x in got.collect()) == brute_components(rows)
+    assert narrowed and sum(compared) < 10 * len(rows)
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    texts = [None, "", " \t", "a", "A b", "x" * 70_000, "é É Ä a\x0bb\x1fc d e", words(40, 1), words(40, 1).upper(), "\n" + words(7, 2) + "  ", words(5, 2), "a"]
+    for chosen in (texts, texts[3:], texts[:3], []):
+        value, bounds = jaccard_join.shingle_sets(jaccard_join.pa.array(["skipped", *chosen], jaccard_join.pa.string()).slice(1))
+        assert [value[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [jaccard_join.shingles(t).tolist() for t in chosen]
+        want = [w.lower().split() for w in ((t or "").encode() for t in chosen)]
+        assert np.diff(bounds).tolist() == [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0 for w in want]
+
+
 def test_deletions_serve_sets_in_few_segments():
     """With hardly more segments than needed, many sets ask with deletions; every pair within reach must still meet."""
     r = np.random.default_rng(3)
