@@ -38,7 +38,7 @@ BLANKS_DROP = re.compile(rf"[{LETTERS}]+(?=[ \n.,;:!?|*#$%&]|$)|[.,;:!?|*#$%&]+(
 class Encoder:
     """A tokenizers file with a bounded cache of encoded pieces; one in each Python worker."""
 
-    def __init__(self, path: str, cached: int = 400_000, longest_piece: int = 64) -> None:
+    def __init__(self, path: str, cached: int = 400_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,7 +49,13 @@ class Encoder:
         self.t.no_padding()
         kind = type(self.t.pre_tokenizer).__name__
         self.pieces = BLANKS_COUNT if kind == "ByteLevel" else BLANKS_DROP
-        self.cached, self.longest = cached, longest_piece
+        self.cached = cached
+        # pieces of letters are learnt from texts of many, one after another, with a token between that none of them has
+        self.between = "\n" if kind == "ByteLevel" else " | "
+        mark = self.t.encode(self.between, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        # then ASCII letters are the model's own, and a blank before them is U+0120
+        self.plain = kind == "ByteLevel" and self.t.normalizer is None and not self.t.pre_tokenizer.add_prefix_space
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.places: dict[str, bytes] = {}
@@ -58,7 +64,7 @@ class Encoder:
     def learn(self, new: set[str]) -> None:
         """Put pieces into the cache, from the last full one where it has them."""
         if len(self.ids) + len(new) > self.cached:
-            self.ids, self.older = {}, self.ids
+            self.ids, self.older = {}, self.ids if len(self.ids) <= self.cached else {}
         ids, older = self.ids, self.older
         todo = []
         for piece in new:
@@ -66,8 +72,25 @@ class Encoder:
                 todo.append(piece)
             else:
                 ids[piece] = known
-        for at in range(0, len(todo), 20_000):
-            some = todo[at : at + 20_000]
+        words = [p for p in todo if p.isalpha() or (p[0] == " " and p[1:].isalpha())] if self.mark is not None else []
+        if self.plain:
+            model = self.t.model.tokenize
+            for piece in words:
+                if piece.isascii():
+                    ids[piece] = array("i", [t.id for t in model(piece.replace(" ", "\u0120"))]).tobytes()
+            words = [p for p in words if not p.isascii()]
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            got = np.array(self.t.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<i4")
+            ends = np.flatnonzero(got == self.mark)
+            if len(ends) == len(some) - 1:
+                raw, last = got.tobytes(), 0
+                for piece, end in zip(some, [*ends.tolist(), len(got)], strict=True):
+                    ids[piece] = raw[4 * last : 4 * end]
+                    last = end + 1
+        rest = [p for p in todo if p not in ids]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
             for piece, e in zip(some, self.t.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids[piece] = array("i", e.ids).tobytes()
 
@@ -78,17 +101,20 @@ class Encoder:
         for at in range(0, len(texts), 64):
             some = texts[at : at + 64]
             cut = [None if UNUSUAL.search(x) else self.pieces.findall(x) for x in some]
-            known = self.ids
-            new = {p for c in cut if c is not None for p in c if p not in known}
+            every = set().union(*(c for c in cut if c is not None))
+            new = every.difference(self.ids)
             if new:
-                if len(known) + len(new) > self.cached:  # the cache starts anew: all pieces of these texts are needed
-                    new = {p for c in cut if c is not None for p in c}
-                self.learn(new)
-                known = self.ids
+                # where the cache starts anew, all pieces of these texts are needed
+                self.learn(every if len(self.ids) + len(new) > self.cached else new)
+            known = self.ids.__getitem__
             for x, c in zip(some, cut, strict=True):
-                out.append(np.array(whole(x, add_special_tokens=False).ids, "<i4").tobytes() if c is None else b"".join([known[p] for p in c]))
+                out.append(np.array(whole(x, add_special_tokens=False).ids, "<i4").tobytes() if c is None else b"".join(map(known, c)))
         return out
 
+    def forget(self) -> None:
+        """Free the pieces: Spark keeps a worker for other stages."""
+        self.ids, self.older, self.places = {}, {}, {}
+
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
         if self.t.decoder is None:  # then it joins the tokens with blanks
@@ -234,6 +260,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
             for batch in _slices(whole, where):
                 parts = enc.encode([x or "" for x in batch.column(where).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + finish(enc, parts), names=schema.names)
+        enc.forget()
 
     n = F.coalesce(F.length(text), F.lit(0))
     plain = docs.where(n <= long_chars).mapInArrow(short, schema)
@@ -260,6 +287,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
                 found = [enc.spans(x) for x in batch.column(at).to_pylist()]
                 cols = [pa.array([getattr(s, k).tobytes() for s in found], pa.binary()) for k in ("ids", "start", "end")]
                 yield pa.RecordBatch.from_arrays(list(batch.columns) + cols, names=coded.names)
+        enc.forget()
 
     out_key = T.StructType([f for f in leaves.schema if f.name == "rest"] + [T.StructField(text, T.StringType())] + list(extra))
 

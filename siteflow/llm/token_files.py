@@ -1,6 +1,6 @@
 """Token files: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
-A shard holds documents in ascending doc_id order (nulls first, then equal ids by text): a header, the documents'
+A shard holds documents in ascending doc_id order (nulls first, then equal ids by their tokens' bytes): a header, the documents'
 ids and token counts, then two bits a token that tell its bytes (1 to 4) and, apart from them, the bytes. Tokens
 are written as ranks by falling frequency over the whole corpus, so that the most frequent 256 take one byte each.
 The rank table has a row for each id of the vocabulary; it lies beside the shards as Parquet.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices, encoder
-from .common import keep, work_dir, write_file
+from .common import drop, keep, work_dir, write_file
 
 MAGIC = b"RANKSVB1"
 HEAD = struct.Struct("<8sqqq")  # magic, documents, tokens, data bytes
@@ -77,8 +77,9 @@ def read_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 8_000_000) -> DataFrame:
     """Write docs(doc_id, text) under path; the manifest (shard, pid, seq, docs, tokens) is returned, read back from path.
 
-    Null and empty texts are one end id. Equal doc_ids stand side by side, by text. Other columns are not written.
-    An empty table gives an empty manifest and no shards.
+    Null and empty texts are one end id. Equal doc_ids stand side by side, by their tokens' bytes; whole
+    repeats each have their place. A text of any length is one record. Other columns are not written, whatever their
+    names. An empty table gives an empty manifest and no shards.
     """
     spark = docs.sparkSession
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -86,28 +87,32 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], "<i4").tobytes()
+        total = np.zeros(0, dtype=np.int64)
         for whole in batches:
             for batch in _slices(whole, 1):
                 parts = [np.frombuffer(p + end, "<i4") for p in enc.encode(batch.column(1).to_pylist())]
                 n = pa.array([len(p) for p in parts], pa.int64())
+                c = np.bincount(np.concatenate(parts))
+                if len(c) > len(total):
+                    c, total = total, c.astype(np.int64)
+                total[: len(c)] += c
                 yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([p.astype("<u4" if p.max() > 0xFFFF else "<u2").tobytes() for p in parts], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
+        # a row of its own for the task's counts: the ids in use and how often, of eight bytes each
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([np.concatenate([at, total[at]]).astype("<i8").tobytes()], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
     # ids of two bytes where they fit, else of four: the length and n_tokens tell which
     tokens = keep(coded.mapInArrow(encode, "doc_id long, n_tokens long, ids binary"), "tokens")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            if len(b):
-                c = np.bincount(np.concatenate([ids_of(i, n) for i, n in zip(b.ids, b.n_tokens, strict=True)]))
-                if len(c) > len(total):
-                    c, total = total, c.astype(np.int64)
-                total[: len(c)] += c
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at.astype(np.int64), "n": total[at]})
+            for raw in b.ids:
+                at, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pd.DataFrame({"id": at, "n": n})
 
     # a row for each id in use, at most the vocabulary
-    counted = tokens.select("n_tokens", "ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
+    counted = tokens.where("n_tokens < 0").select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
     order = np.array([r.id for r in counted], dtype=np.int64)
     total = sum(r.n for r in counted)
     spark.createDataFrame(pa.table({"rank": pa.array(range(len(order)), pa.int64()), "id": pa.array(order, pa.int64())})).coalesce(1).write.parquet(f"{path}/ranks")
@@ -116,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     sent = spark.sparkContext.broadcast(rank_of)  # four bytes for each id of the vocabulary
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, seq, held, names, counts, made = TaskContext.get().partitionId(), 0, 0, [], [], []
+        pid, seq, held, names, counts = TaskContext.get().partitionId(), 0, 0, [], []
         parts: list[np.ndarray] = []
         rows: list[tuple] = []
 
@@ -138,12 +143,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     close()
         if names:
             close()
-        del made
         yield pd.DataFrame(rows, columns=["shard", "pid", "seq", "docs", "tokens"])
 
     n = int(max(1, min(total // 500_000 + 1, max(spark.sparkContext.defaultParallelism, total // shard_tokens + 1))))
-    manifest = tokens.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").mapInPandas(write, "shard string, pid long, seq long, docs long, tokens long")
+    manifest = tokens.where("n_tokens >= 0").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").mapInPandas(write, "shard string, pid long, seq long, docs long, tokens long")
     manifest.write.parquet(f"{path}/manifest")
+    drop(tokens)
     return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
 
@@ -152,7 +157,10 @@ def ids_of(raw: bytes, n: int) -> np.ndarray:
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit), from the files."""
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit), from the files.
+
+    No files give an empty table; null doc_ids come back as null.
+    """
     order = np.array([r.id for r in spark.read.schema("rank long, id long").parquet(f"{path}/ranks").orderBy("rank").collect()], dtype="<u4")
     sent = spark.sparkContext.broadcast(order)
     manifest = spark.read.schema("shard string, pid long, seq long, docs long, tokens long").parquet(f"{path}/manifest")
@@ -182,7 +190,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
 
 
 def token_file_digests(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """Write docs as token files and read them back: doc_id, start, n_tokens, ids_crc32."""
+    """Write docs as token files and read them back: doc_id, start, n_tokens, ids_crc32. Odd rows are as in write_token_files."""
     spark = docs.sparkSession
     path = path or work_dir(spark, "token-files")
     write_token_files(docs, path, tokenizer)
