@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,13 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import keep
+from .common import keep, others, tick
 from .url_lists import url_host
 
+#: A tag's attributes: quotes count right after an equals sign, if they are closed. Read once (possessive).
+WITHIN = r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+"
 #: Comments, elements whose text is no markup, and tags. A tag that the page's end cuts is dropped with what follows.
 MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b{WITHIN}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-z][a-z0-9:-]*)({WITHIN})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -53,24 +57,50 @@ def _unwanted(attributes: dict[str, str]) -> bool:
 
 
 class Element:
-    __slots__ = ("blocks", "direct", "dropped", "links", "name", "parent", "path", "score", "share")
+    __slots__ = ("dropped", "end", "name", "path", "score", "share", "start")
 
-    def __init__(self, name: str, parent: Element | None, attributes: dict[str, str]) -> None:
-        self.name, self.parent, self.score, self.blocks, self.direct, self.links = name, parent, 0.0, [], 0, 0
+    def __init__(self, name: str, parent: Element | None, attributes: dict[str, str], start: int, paths: dict[tuple[int, str], int]) -> None:
+        self.name, self.score, self.start, self.end = name, 0.0, start, start
         words = attributes.get("class", "").split() + attributes.get("id", "").split()
-        names = sorted({re.sub(r"\d+", "#", x.lower()) for x in words})
-        self.path = (parent.path + "/" if parent else "") + name + "".join("." + x for x in names[:4])
+        names = sorted({re.sub(r"\d+", "#", x.lower()).replace("/", "|") for x in words})
+        # paths are numbered: a step from the parent's number
+        self.path = paths.setdefault((parent.path if parent else 0, ("/" if parent else "") + name + "".join("." + x for x in names)), len(paths) + 1)
         self.dropped = bool(parent and parent.dropped) or name in DROPPED or (name not in NEVER_DROPPED and _unwanted(attributes))
         self.share = 1.5 if name in ("article", "main") else 1.25 if any(p in WANTED for x in names for p in re.findall(r"[a-z]+", x)) else 1.0
 
 
-def parse(page: str) -> list[Element]:
-    """The page's containers in order, each with the numbers of its blocks; blocks hang on the first one as .blocks."""
-    root = Element("", None, {})
-    stack, found, blocks = [root], [], []
+class Page(NamedTuple):
+    blocks: list[str]
+    containers: list[Element]  # each holds the blocks from start to end
+    paths: dict[tuple[int, str], int]
+
+    def path(self, number: int) -> str:
+        back = {n: step for step, n in self.paths.items()}
+        parts = []
+        while number:
+            number, step = back[number]
+            parts.append(step)
+        return "".join(reversed(parts))
+
+
+def parse(page: str) -> Page:
+    """The page's blocks of text and its containers, in order; time in proportion to the page's length."""
+    root = Element("", None, {}, 0, {})
+    paths: dict[tuple[int, str], int] = {}
+    root.path = 0
+    stack, found, blocks, holders = [root], [], [], [root]
+    open_: Counter[str] = Counter()
     piece: list[str] = []
     linked = 0
 
+    def pop(k: int) -> None:
+        for e in reversed(stack[k:]):
+            open_[e.name] -= 1
+            e.end = len(blocks)
+            if holders[-1] is e:
+                holders.pop()
+        del stack[k:]
+
     def close_block() -> None:
         nonlocal linked
         raw = "".join(piece)
@@ -79,22 +109,16 @@ def parse(page: str) -> list[Element]:
         links, linked = linked, 0
         if not text:
             return
-        no = len(blocks)
         blocks.append(text)
         weight = len(text) * max(0.0, 1 - links / len(text))
-        step = 1.0
-        for e in reversed(stack):
-            if e.name in CONTAINERS or e is root:
-                e.blocks.append(no)
-                if step > 0.1:
-                    e.score += weight * step
-                    step /= 2
+        for k, e in enumerate(reversed(holders[-4:])):
+            e.score += weight / 2**k
 
     def add(text: str) -> None:
         nonlocal linked
         if text and not stack[-1].dropped:
             piece.append(text)
-            if any(e.name == "a" for e in stack[-3:]):
+            if open_["a"]:
                 linked += len(text)
 
     at = 0
@@ -115,10 +139,10 @@ def parse(page: str) -> list[Element]:
         if m[2]:
             if block:
                 close_block()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[name] > 0 else ():
                 if stack[k].name == name:
                     if not (name in INLINE and any(e.name not in INLINE for e in stack[k + 1 :])):
-                        del stack[k:]
+                        pop(k)
                     break
                 if name == "p" and stack[k].name in CONTAINERS:
                     break
@@ -126,9 +150,9 @@ def parse(page: str) -> list[Element]:
         if block:
             close_block()
             # an open paragraph ends where a block begins, with the inline elements left open in it
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_["p"] > 0 or (open_[name] > 0 and name in ("li", "dt", "dd", "tr", "td", "th", "option")) else ():
                 if stack[k].name == "p" or (stack[k].name == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].name not in INLINE:
                     break
@@ -136,51 +160,64 @@ def parse(page: str) -> list[Element]:
             continue
         raw = m[4]
         attributes = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(raw)} if raw.strip() else {}
-        element = Element(name, stack[-1] if stack[-1] is not root else None, attributes)
+        element = Element(name, stack[-1] if stack[-1] is not root else None, attributes, len(blocks), paths)
         element.dropped = element.dropped or stack[-1].dropped
         stack.append(element)
-        if name in CONTAINERS and not element.dropped:
-            found.append(element)
+        open_[name] += 1
+        if name in CONTAINERS:
+            holders.append(element)
+            if not element.dropped:
+                found.append(element)
     add(page[at:])
     close_block()
-    root.path = "/"
-    root.links = blocks
-    return [root, *found]
+    pop(1)
+    root.end = len(blocks)
+    return Page(blocks, [root, *found], paths)
 
 
 def votes(page: str, most: int = 5) -> list[tuple[str, float]]:
-    """Paths of the page's best containers with their share of the best one's score."""
-    scored: dict[str, float] = {}
-    for e in parse(page)[1:]:
-        if e.blocks:
+    """Paths of the page's ``most`` best containers with their share of the best one's score."""
+    parsed = parse(page)
+    scored: dict[int, float] = {}
+    for e in parsed.containers[1:]:
+        if e.end > e.start:
             scored[e.path] = max(scored.get(e.path, 0.0), e.score * e.share)
-    top = sorted(scored.items(), key=lambda x: (-x[1], x[0]))[:most]
-    return [(p, s / top[0][1]) for p, s in top if s > 0]
+    top = sorted(((p, s) for p, s in scored.items() if s > 0), key=lambda x: (-x[1], x[0]))[:most]
+    return [(parsed.path(p), s / top[0][1]) for p, s in top]
 
 
 def extract(page: str, paths: list[str]) -> str:
     """The text of the containers of the first path that the page has."""
-    root, *found = parse(page)
-    have: dict[str, list[Element]] = {}
+    parsed = parse(page)
+    root, *found = [e for e in parsed.containers[:1]] + [e for e in parsed.containers[1:] if e.end > e.start]
+    have: dict[int, list[Element]] = {}
     for e in found:
-        if e.blocks:
-            have.setdefault(e.path, []).append(e)
-    chosen = next((have[p] for p in paths if p in have), None)
+        have.setdefault(e.path, []).append(e)
+    chosen = None
+    for path in paths:
+        number: int | None = 0
+        for k, step in enumerate(path.split("/")):
+            number = parsed.paths.get((number, "/" * (k > 0) + step)) if number is not None else None
+        if number in have:
+            chosen = have[number]
+            break
     if chosen is None:
-        best = max((e for e in found if e.blocks), key=lambda e: e.score * e.share, default=root)
-        chosen = [best]
-    numbers = sorted({n for e in chosen for n in e.blocks})
-    return "\n".join(root.links[n] for n in numbers)
+        chosen = [max(found, key=lambda e: e.score * e.share, default=root)]
+    out, last = [], 0
+    for e in sorted(chosen, key=lambda e: (e.start, -e.end)):
+        out += parsed.blocks[max(last, e.start) : e.end]
+        last = max(last, e.end)
+    return "\n".join(out)
 
 
 def extract_pages(pages: DataFrame, most_paths: int = 5, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Add text (main text, '' if none) and n_chars to pages(url, html); columns of these names are replaced.
 
-    Null html is empty. Rows without a host vote together. Repeated rows each vote and each get their text.
+    Null html is empty; a page of any length is read whole, once for its votes and once for its text. Each page votes
+    for its most_paths best paths, and so many stand for a host. An empty table gives an empty one. Rows without a host vote together. Repeated rows each vote and each get their text.
     """
-    names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    ticked = ["`" + c.replace("`", "``") + "`" for c in names]
-    pages = pages.select(*ticked).withColumn("__host", url_host(F.col("url")))
+    names = others(pages, "text", "n_chars")
+    pages = pages.select(*map(tick, names)).withColumn("__host", url_host(F.col("url")))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
