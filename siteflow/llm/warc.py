@@ -8,6 +8,7 @@ next version line from which a whole record follows, goes on there and reports t
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from typing import NamedTuple
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, work_dir, write_file
@@ -76,40 +77,105 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[Record, int]:
 
 
 class Gap(NamedTuple):
+    """Bytes start to end of the file hold no whole record; inner: the place in a member's decompressed text."""
+
     start: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None
 
 
-def salvage(raw: bytes) -> Iterator[Record | Gap]:
-    """All records that pass their checks, in order, and the byte ranges between them that hold none."""
-    at, bad, why = 0, -1, ""
-    while at < len(raw):
-        found: list[Record] = []
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+
+
+def proven_record(raw: bytes, at: int, trusted: bool) -> tuple[Record, int]:
+    """parse_record; where the place is not trusted or in the middle of a line, a digest of the payload must prove it."""
+    record, nxt = parse_record(raw, at)
+    if not (trusted and (at == 0 or raw[at - 1 : at] == b"\n")) and not (record.headers.get("WARC-Type") == "response" and record.headers.get("WARC-Payload-Digest", "").startswith("sha256:")):
+        raise ValueError("no digest tells whether it is whole")
+    return record, nxt
+
+
+def inflate(raw: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What a gzip member's start gives, the place after the member (None if it isn't whole), and what is wrong with it."""
+    z, parts, place = zlib.decompressobj(31), [], at
+    view = memoryview(raw)
+    try:
+        while place < len(raw) and not z.eof:
+            parts.append(z.decompress(view[place : place + 4096]))
+            place += 4096
+        return b"".join(parts), (min(place, len(raw)) - len(z.unused_data) if z.eof else None), "" if z.eof else "member cut short"
+    except zlib.error as e:
+        # the last step's bytes up to the damage
+        z = zlib.decompressobj(31)
+        parts = [z.decompress(view[at:place])] if place > at else []
         try:
-            if raw.startswith(GZIP, at):
-                z = zlib.decompressobj(31)
-                plain = z.decompress(raw[at:] if len(raw) - at < 1 << 16 else memoryview(raw)[at:])
-                if not z.eof:
-                    raise ValueError("member cut short")
-                nxt, place = len(raw) - len(z.unused_data), 0
-                while place < len(plain):
-                    record, place = parse_record(plain, place)
-                    found.append(record)
-            else:
-                record, nxt = parse_record(raw, at)
-                found.append(record)
-        except (ValueError, zlib.error) as e:
-            if bad < 0:
-                bad, why = at, str(e)
-            steps = [x for x in (raw.find(GZIP, at + 1), raw.find(b"WARC/", at + 1)) if x > 0]
-            at = min(steps, default=len(raw))
+            for k in range(place, min(place + 4096, len(raw))):
+                parts.append(z.decompress(view[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), None, str(e)
+
+
+def records_of(plain: bytes, whole: bool) -> Iterator[Record | tuple[int, int, str]]:
+    """The records of a member's text and the stretches between that hold none. Without its checksum (not whole), only
+    records whose payload agrees with a digest count."""
+    place, bad, why = 0, -1, ""
+    while place < len(plain):
+        try:
+            record, nxt = proven_record(plain, place, whole)
+        except ValueError as e:
+            bad, why = (place, str(e)) if bad < 0 else (bad, why)
+            m = VERSION_LINE.search(plain, place + 1)
+            place = m.start() if m else len(plain)
             continue
         if bad >= 0:
-            yield Gap(bad, at, why)
+            yield bad, place, why
             bad = -1
-        yield from found
-        at = nxt
+        yield record
+        place = nxt
+    if bad >= 0:
+        yield bad, len(plain), why
+
+
+def salvage(raw: bytes) -> Iterator[Record | Gap]:
+    """All records that pass their checks, in order, and the byte ranges between them that hold none.
+
+    A damaged or cut member gives the records before the damage; the next member is looked for behind it. In a member or
+    plain file with a damaged record the next version line is; one in the middle of a line counts if a digest proves its record. (Where a damaged record quotes
+    a whole record on lines of its own, nothing tells that from a record.)
+    """
+    at, bad, why = 0, -1, ""
+    while at < len(raw):
+        if raw.startswith(GZIP, at):
+            plain, nxt, wrong = inflate(raw, at)
+            found = list(records_of(plain, nxt is not None))
+            if nxt is not None and any(isinstance(x, Record) for x in found):
+                if bad >= 0:
+                    yield Gap(bad, at, why)
+                    bad = -1
+                for x in found:
+                    yield x if isinstance(x, Record) else Gap(at, nxt, x[2], x[:2])
+                at = nxt
+                continue
+            if bad < 0:
+                bad, why = at, wrong or next((x[2] for x in found if not isinstance(x, Record)), "no record")
+            yield from (x for x in found if isinstance(x, Record))
+        else:
+            try:
+                record, nxt = proven_record(raw, at, True) if bad >= 0 else parse_record(raw, at)
+            except ValueError as e:
+                bad, why = (at, str(e)) if bad < 0 else (bad, why)
+            else:
+                if bad >= 0:
+                    yield Gap(bad, at, why)
+                    bad = -1
+                yield record
+                at = nxt
+                continue
+        line = VERSION_LINE.search(raw, at + 1)
+        steps = [x for x in (raw.find(GZIP, at + 1), line.start() if line else -1) if x > 0]
+        at = min(steps, default=len(raw))
     if bad >= 0:
         yield Gap(bad, len(raw), why)
 
@@ -118,19 +184,27 @@ def write_warcs(pages: DataFrame, path: str, least: int = 100, file_bytes: int =
     """Write pages(page_id, url, html) as gzipped WARC files under path and return the manifest (file, records).
 
     Null html is an empty payload, null url has no target line; rows without page_id are responses. Repeated rows of
-    one page_id: each has its record, the first by digest and url is the response. An empty table writes no files.
+    one page_id: each has its record, of equal payloads the first by url is the response. An empty table writes no files.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     first = pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes")).where(f"bytes >= {least}")
     copies = first.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     # by digest and page: which response each copy points to; a row for each page that has copies
-    revisits = first.join(copies, "digest").select("page_id", "digest", "refers_to").distinct()
+    revisits = first.join(copies, "digest").groupBy("page_id", "digest").agg(F.first("refers_to").alias("refers_to"), F.count("*").alias("times"))
+    revisits = keep(revisits, "warc-revisits")
     full = pages.withColumn("digest", F.sha2("html", 256)).join(revisits, ["page_id", "digest"], "left")
+    own = F.col("refers_to").isNull() | (F.col("refers_to") == F.col("page_id"))
+    again = own & (F.coalesce("times", F.lit(1)) > 1)
+    if revisits.where("times > 1 and page_id = refers_to").take(1):
+        # rows repeated with the group's smallest page_id: the first by url is the response
+        first_one = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) == 1
+        full = full.where(~again).withColumn("own", own).unionByName(full.where(again).withColumn("own", first_one))
+    else:
+        full = full.withColumn("own", own)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         pid, seq, held, parts, rows = TaskContext.get().partitionId(), 0, 0, [], []
-        done: set[int] = set()
 
         def close() -> None:
             nonlocal seq, held
@@ -141,12 +215,8 @@ def write_warcs(pages: DataFrame, path: str, least: int = 100, file_bytes: int =
             parts.clear()
 
         for batch in batches:
-            for page, url, html, digest, to in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+            for page, url, html, digest, to, own in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to", "own")), strict=True):
                 payload = html.encode()
-                # the smallest page_id of a group is the response; equal page_ids stand in one task, the first one is it
-                own = to is None or (to == page and page not in done)
-                if to is not None and to == page:
-                    done.add(page)
                 parts.append(record_bytes(page, url, payload if own else None, digest, len(payload), None if own else to))
                 held += len(parts[-1])
                 if held >= file_bytes:
@@ -159,18 +229,23 @@ def write_warcs(pages: DataFrame, path: str, least: int = 100, file_bytes: int =
     return keep(manifest, "warc-manifest")
 
 
-def read_warcs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The records of all files under path, and the gaps: (file, start, end, reason)."""
-    fields = "file string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, gap_start long, gap_end long, reason string"
+def read_warcs(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The records of all files under path, and the gaps: (file, start, end, inner_start, inner_end, reason).
+
+    strict: a gap ends the reading with an error instead. Files without any record give their gap; a file is one task's.
+    """
+    fields = "file string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, gap_start long, gap_end long, inner_start long, inner_end long, reason string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("file", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())])
+        kinds = pa.schema([("file", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("inner_start", pa.int64()), ("inner_end", pa.int64()), ("reason", pa.string())])
         for batch in batches:
             for file, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
                 for x in salvage(raw.as_buffer().to_pybytes()):
                     if isinstance(x, Gap):
-                        rows.append((file, None, None, "gap", None, None, None, None, x.start, x.end, x.reason))
+                        if strict:
+                            raise ValueError(f"{file}: bytes {x.start} to {x.end} hold no record: {x.reason}")
+                        rows.append((file, None, None, "gap", None, None, None, None, x.start, x.end, *(x.inner or (None, None)), x.reason))
                     else:
                         h = x.headers
                         whole = h["WARC-Type"] == "response"
@@ -178,7 +253,7 @@ def read_warcs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                         payload = x.payload if whole else None
                         # what a response holds is counted anew; a revisit has only what its headers say
                         digest = hashlib.sha256(payload).hexdigest() if whole else h["WARC-Payload-Digest"].partition(":")[2]
-                        rows.append((file, number("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], digest, len(payload) if whole else number("X-Payload-Length"), number("X-Refers-To-Page-ID"), payload, None, None, None))
+                        rows.append((file, number("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], digest, len(payload) if whole else number("X-Payload-Length"), number("X-Refers-To-Page-ID"), payload, None, None, None, None, None))
                         size += len(payload or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
@@ -188,18 +263,18 @@ def read_warcs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
     rows = files.mapInArrow(read, fields)
-    records = rows.where("record_type != 'gap'").drop("gap_start", "gap_end", "reason")
-    gaps = rows.where("record_type = 'gap'").select("file", F.col("gap_start").alias("start"), F.col("gap_end").alias("end"), "reason")
+    records = rows.where("record_type != 'gap'").drop("gap_start", "gap_end", "inner_start", "inner_end", "reason")
+    gaps = rows.where("record_type = 'gap'").select("file", F.col("gap_start").alias("start"), F.col("gap_end").alias("end"), "inner_start", "inner_end", "reason")
     return records, gaps
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write pages as archives and read them back."""
+    """Write pages as archives and read them back; what was just written must have no gap. Odd rows are as in write_warcs."""
     spark = pages.sparkSession
     path = path or work_dir(spark, "warc")
     if not write_warcs(pages, path).take(1):
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_warcs(spark, path)[0].select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warcs(spark, path, strict=True)[0].select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The same rows for DuckDB.
