@@ -21,6 +21,8 @@ def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="siteflow-"))
     return base.rstrip("/")
 
@@ -48,6 +50,30 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(df: DataFrame, *new: str | None) -> list[str]:
+    """df's columns but for those named like the new ones; Spark doesn't tell capitals."""
+    taken = {x.lower() for x in new if x}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def range_of(value: Column, edges: list[int]) -> Column:
+    """How many of the sorted edges are at most the value; for many edges in two steps of an array each."""
+    below = lambda array: F.size(F.filter(array, lambda e: e <= value))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    if not edges:
+        return F.lit(0)
+    if len(edges) <= 1000:
+        return below(longs(edges))
+    step = int(len(edges) ** 0.5) + 1
+    parts = [edges[k : k + step] for k in range(0, len(edges), step)]
+    part = below(longs([x[0] for x in parts])) - 1
+    return F.when(part < 0, 0).otherwise(part * step + below(F.get(F.array(*map(longs, parts)), part)))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, n_words
+from .common import keep, n_words, others, range_of, tick
 
 ONE = 2**32  # rates and offsets in units of 2**-32, so that prefix sums are exact
 
@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def copies_of(rank: Column, rate: Column, offset: Column) -> Column:
     """Integers that the prefix sum crosses at this rank (from 1)."""
-    at = lambda k: F.floor((k.cast("decimal(19,0)") * rate.cast("decimal(12,0)") + offset.cast("decimal(12,0)")) / F.lit(ONE).cast("decimal(11,0)"))
+    # whole numbers all through: a quotient of decimals would be rounded first
+    at = lambda k: F.call_function("div", k.cast("decimal(19,0)") * rate.cast("decimal(12,0)") + offset.cast("decimal(12,0)"), F.lit(ONE).cast("decimal(11,0)"))
     return (at(rank) - at(rank - 1)).cast("long")
 
 
@@ -46,12 +47,14 @@ def mix_documents(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] =
     Columns of the new names are replaced.
     """
     new = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*[c for c in new if c in docs.columns]).withColumn("size", n_words(F.col("text")))
+    docs = docs.select(*map(tick, others(docs, *new))).withColumn("size", n_words(F.col("text")))
     spark = docs.sparkSession
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    lo, hi, n = (int(x) if x is not None else 0 for x in ends)
-    width = (hi - lo) // max(1, n // bucket_rows) + 1
-    keyed = docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("__range", F.coalesce(F.expr(f"(doc_id - {lo}L) div {width}L"), F.lit(-1)))
+    n = docs.select("doc_id").count()
+    probes = [i / (n // bucket_rows) for i in range(1, min(n // bucket_rows, 100_000))]
+    # ranges of about equal numbers of rows, wherever the ids lie
+    edges = sorted({int(e) for e in docs.where("doc_id is not null").approxQuantile("doc_id", probes, 0.5 / (len(probes) + 1))}) if probes else []
+    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_of(F.col("doc_id").cast("long"), edges)).cast("int")
+    keyed = docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("__range", place)
     keys = ["__source", "size", "__range"]
     groups = keep(keyed.groupBy("source", *keys).agg(F.count("*").alias("__n")), "mix-counts")
     sources = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("__n")).alias("source_size"))
@@ -70,14 +73,16 @@ def mix_documents(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] =
     out = ranked.join(F.broadcast(t) if t.count() <= 100_000 else t, "__source")
     out = out.withColumn("copies", copies_of(F.col("__before") + F.col("__place"), F.col("__rate"), F.col("__offset")))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns], "source_size", "target", "copies", "taken")
+    return out.select(*map(tick, docs.columns), "source_size", "target", "copies", "taken")
 
 
 def mixed(docs: DataFrame, **more: float) -> DataFrame:
     """The mix itself: each document as many times as it is taken."""
-    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
-    out = mix_documents(docs, **more).where("copies > 0")
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*names)
+    # the row as it is, so that its columns can have any names
+    packed = docs.select("doc_id", "text", "source", F.struct(*map(tick, docs.columns)).alias("__row"))
+    out = mix_documents(packed, **more).where("copies > 0")
+    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same rows for DuckDB: documents is a table of doc_id, text, source.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep, range_of
 
 GROUP = 8  # samples computed by one row
 
@@ -78,8 +78,8 @@ def as_string(fingerprint: Column) -> Column:
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     """Add ``__range`` (of doc_id, -1 for nulls) and ``__no`` (place in it by descending doc_id, equal ones by text)."""
     probes = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", probes, 0.5 / ranges))) if probes else []
-    at = F.size(F.filter(F.array(*[F.lit(int(e)).cast("long") for e in edges]), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
+    edges = sorted({int(e) for e in docs.where("doc_id is not null").approxQuantile("doc_id", probes, 0.5 / ranges)}) if probes else []
+    at = range_of(F.col("doc_id"), edges)
     docs = docs.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at).cast("int"))
     inside = Window.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), "text")
     return docs.withColumn("__no", F.row_number().over(inside))
@@ -106,7 +106,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = 32, rows_per_range: in
     edited_fingerprint, near_edited, near_next.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = max(1, min(1000, docs.select("doc_id").count() // rows_per_range + 1))
+    ranges = docs.select("doc_id").count() // rows_per_range + 1
     placed = _follow(in_ranges(docs, ranges), ["text"])
     n = F.length("text").cast("long")
     third = F.floor(n / 3).cast("int")
