@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import _slices
+from .common import others, tick
 
 KINDS = ("assign", "access", "hex", "token")
 KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -27,7 +28,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})\Z")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
-PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|[0-9]+)(?:[-_/=+]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}(?![A-Za-z])))*[-_/=+]*\Z")
+#: Runs are taken whole (possessive), so that a text is read once.
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)(?:[-_/=+]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++(?![A-Za-z])))*+[-_/=+]*+\Z")
 PART = re.compile(r"[A-Za-z0-9]{16,}")
 RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -92,11 +94,13 @@ SPAN_ARROW = pa.list_(pa.field("element", pa.struct([("kind", pa.string()), ("st
 def scan_documents(docs: DataFrame, vocabulary_file: str, text: str = "text", spans: str = "spans", redacted: str | None = None) -> DataFrame:
     """Add ``spans`` (array of kind, start, end) and, if named, ``redacted``: the text with [secret] for each span.
 
-    Null and empty texts have no spans; overlapping spans are redacted as one. Columns of the new names are replaced,
+    Null and empty texts have no spans; whole texts are read, however long; repeated rows have a row each and an empty
+    table gives an empty one. Overlapping spans are redacted as one. Columns of the new names are replaced,
     unless ``redacted`` is the text column itself; a null text stays null.
     """
-    names = [c for c in docs.columns if c not in (spans, redacted) or c == text]
-    docs = docs.select(*["`" + c.replace("`", "``") + "`" for c in names])
+    kept = others(docs, spans, redacted)
+    names = [c for c in docs.columns if c in kept or c == text]
+    docs = docs.select(*map(tick, names))
     out = [docs.schema[c] for c in names if c != redacted] + [T.StructField(spans, SPAN)] + ([T.StructField(redacted, T.StringType())] if redacted else [])
     schema, at = T.StructType(out), names.index(text)
 
