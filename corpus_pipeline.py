@@ -19,20 +19,29 @@ def _names(docs: DataFrame) -> list[str]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the forest."""
+    """Documents that pass the base rules and the forest. Null and blank texts fail them; repeated rows pass or fail alike."""
     return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*_names(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id. Of rows of one doc_id and text, one."""
-    found = near_duplicates(docs)
-    stay = keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("n")), "stay")
-    out = docs.join(stay.select("__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if stay.where("n > 1").take(1) else out
+    """One row of each group of near copies: that of the smallest doc_id (nulls last), of equal ones by a hash of id and text.
+
+    Null and blank texts are copies only of rows with the same doc_id and text; of such repeats one row stays too.
+    """
+    # rows are told by this hash, so null and repeated doc_ids need no care; the row is packed, so its columns have any names
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", F.struct(*_names(docs)).alias("row"))
+    found = keep(near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct(), "found")
+    ids = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("first"))
+    stay = keep(first.select("first.key", "first.n"), "stay")
+    out = keyed.join(stay.select("key"), "key", "left_semi")
+    if stay.where("n > 1").take(1):
+        out = out.groupBy("key").agg(F.first("row").alias("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with [secret] in place of each span; n_chars follows."""
+    """Documents with [secret] in place of each span; n_chars follows. Null texts stay null; every row stays."""
     out = scan_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), spans="__spans", redacted="text").drop("__spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
@@ -40,12 +49,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as the mix takes them."""
+    """Documents as many times as the mix takes them; those of size 0 not at all or as rows without words, as their place falls."""
     return mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and the digest of the text that they decode to."""
+    """doc_id, source, n_tokens, ids and the digest of the text that they decode to; null texts have no ids."""
     coded = encode_documents(docs.select("doc_id", "source", "text"), tokenizer_file("word_bpe_49k.json"), decoded="decoded")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import others, tick
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts with any other character, or with a special token's opening, are given to the library whole.
 UNUSUAL = re.compile(rf"<\||[^\n\r\t\x20-\x7e{LETTERS}¡-¿×÷–—‘’“”…€]")
@@ -241,9 +243,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     Null and empty texts have no ids and decode to ''. Repeated rows and equal texts have equal results; all other
     columns pass, and those named like the new ones are replaced.
     """
-    docs = docs.drop(*[c for c in (ids, decoded) if c and c in docs.columns and c != text])
+    kept_names = others(docs, ids, decoded)
+    docs = docs.select(*[tick(c) for c in docs.columns if c in kept_names or c == text])
     extra = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
-    names = [c for c in docs.columns if c not in (ids, decoded)]
+    names = kept_names
     schema = T.StructType([docs.schema[c] for c in names] + list(extra))
 
     def finish(enc: Encoder, parts: list[bytes]) -> list[pa.Array]:
@@ -270,10 +273,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     leaf = T.StructType([T.StructField(key, T.LongType()), T.StructField(no, T.LongType()), T.StructField("piece", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("start", T.BinaryType()), T.StructField("end", T.BinaryType())])
     long = docs.where(n > long_chars).withColumn(key, F.monotonically_increasing_id())
     cut = f"transform(sequence(0, cast(({{n}} - 1) div {leaf_chars} as int)), i -> substring({{t}}, i * {leaf_chars} + 1, {leaf_chars}))"
-    tick = "`" + text.replace("`", "``") + "`"
     rest = [c for c in names if c != text]
-    packed = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in rest]) if rest else F.lit(None).cast("int")
-    leaves = long.select(key, packed.alias("rest"), F.posexplode(F.expr(cut.format(n=f"length({tick})", t=tick))).alias(no, "piece"))
+    packed = F.struct(*map(tick, rest)) if rest else F.lit(None).cast("int")
+    leaves = long.select(key, packed.alias("rest"), F.posexplode(F.expr(cut.format(n=f"length({tick(text)})", t=tick(text)))).alias(no, "piece"))
     # only the first leaf carries the other columns
     leaves = leaves.withColumn("rest", F.when(F.col(no) == 0, F.col("rest"))).withColumn(no, F.col(no).cast("long"))
     leaves = leaves.repartition(F.col(key), F.col(no))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import others, tick
+
 #: Above this many bytes the intervals are joined by a shuffle instead of a broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -49,7 +51,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, broadcast_bytes: in
     times match nothing. Rows are kept as they are, repeats too; columns of the new names are replaced.
     """
     new = ("host", "blocked", "decided_by", "active_since")
-    captures = captures.drop(*[c for c in new if c in captures.columns])
+    captures = captures.select(*map(tick, others(captures, *new)))
     spans = intervals(entries)
     # one row for each key and its whole history: joins by key give one row for each capture and key
     history = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("since", "until", "action"))).alias("__spans"))
@@ -63,5 +65,4 @@ def filter_captures(captures: DataFrame, entries: DataFrame, broadcast_bytes: in
     hits = joined.withColumn("__hit", F.get(active, F.lit(0))).where("__hit is not null")
     best = hits.groupBy("url", "fetched").agg(F.min(F.struct((-F.length("key")).alias("n"), F.col("__hit.action").alias("action"), F.col("key"), F.col("__hit.since").alias("since"))).alias("__best"))
     out = captures.join(best, ["url", "fetched"], "left")
-    names = ["`" + c.replace("`", "``") + "`" for c in captures.columns]
-    return out.select(*names, url_host(F.col("url")).alias("host"), F.coalesce(F.col("__best.action") == "block", F.lit(False)).alias("blocked"), F.col("__best.key").alias("decided_by"), F.col("__best.since").alias("active_since"))
+    return out.select(*map(tick, captures.columns), url_host(F.col("url")).alias("host"), F.coalesce(F.col("__best.action") == "block", F.lit(False)).alias("blocked"), F.col("__best.key").alias("decided_by"), F.col("__best.since").alias("active_since"))
