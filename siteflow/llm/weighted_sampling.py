@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, keep, range_of
 
-GROUP = 8  # samples computed by one row
+GROUP = 8  # samples computed by one row: with more, the generated code is too long to be compiled
 
 
 #: Exponential quantiles: two of them added are a draw from gamma(2, 1).
@@ -25,18 +25,15 @@ EXPONENTIAL = "transform(sequence(0, 4095), i -> -ln((i + 0.5D) / 4096))"
 
 
 def sample_value(term: Column, log_weight: Column, seed: Column, table: Column) -> Column:
-    """The term's value in fixed point above the sample's name: the least over all terms is the sample."""
+    """The term's value: the least over all terms is the sample. Another term or t gives another value, so it names the sample."""
     h = F.xxhash64(term, seed)
     draw = lambda at: F.get(table, F.shiftrightunsigned(h, at).bitwiseAND(F.lit(0xFFF)).cast("int"))
     r, c = draw(0) + draw(12), draw(24) + draw(36)
-    b = (F.shiftrightunsigned(h, 48) + 0.5) / 65536.0
-    t = F.floor(log_weight / r + b)
-    value = F.log(c) - r * (t - b + 1)
-    name = (F.shiftrightunsigned(term, 44) + t * 40503).bitwiseAND(F.lit(0xFFFFF))
-    return F.shiftleft(((value + 512) * float(1 << 32)).cast("long"), 20).bitwiseOR(name)
+    b = F.shiftrightunsigned(h, 48) * (1 / 65536) + 0.5 / 65536
+    return F.log(c) - r * (F.floor(log_weight / r + b) - b + 1)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", edited: str | None = None, samples: int = 32) -> DataFrame:
+def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", edited: str | None = None, samples: int = 64) -> DataFrame:
     """keys and ``fingerprint`` (and ``edited_fingerprint``): arrays of samples, null for texts without words.
 
     keys name a row; texts should lie partitioned by the first of them, then nothing is dealt out again.
@@ -47,18 +44,19 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", edited:
     words = lambda c, bit: F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""), lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
     terms = F.concat(words(F.col(text), 0), words(F.col(edited), 1)) if edited else words(F.col(text), 0)
     one = texts.select(*keys, F.explode(terms).alias("w"))
-    of = F.col("w").bitwiseAND(F.lit(1))
-    counted = one.groupBy(*keys, F.col("w").bitwiseAND(F.lit(-2)).alias("term")).agg(F.sum(1 - of).alias("n"), F.sum(of).alias("m"))
-    # equal counts in both texts have equal values
-    weights = F.when(F.col("n") == F.col("m"), F.array(F.struct(F.col("n").alias("w"), F.lit(True).alias("x"), F.lit(True).alias("y")))).otherwise(
-        F.filter(F.array(F.struct(F.col("n").alias("w"), F.lit(True).alias("x"), F.lit(False).alias("y")), F.struct(F.col("m").alias("w"), F.lit(False).alias("x"), F.lit(True).alias("y"))), lambda s: s.w > 0)
-    )
-    rows = counted.select(*keys, "term", F.explode(weights).alias("s")).select(*keys, "term", F.log(F.col("s.w").cast("double")).alias("lw"), "s.x", "s.y")
+    second = F.col("w").bitwiseAND(F.lit(1))
+    counted = one.groupBy(*keys, F.col("w").bitwiseAND(F.lit(-2)).alias("term")).agg(F.sum(1 - second).alias("n"), F.sum(second).alias("m"))
+    # side 0: the text, 1: the edited one, 2: both, where equal counts have equal values
+    of = lambda weight, side: F.struct(F.col(weight).alias("w"), F.lit(side).alias("side"))
+    weights = F.when(F.col("n") == F.col("m"), F.array(of("n", 2))).when(F.col("m") == 0, F.array(of("n", 0))).when(F.col("n") == 0, F.array(of("m", 1))).otherwise(F.array(of("n", 0), of("m", 1)))
+    rows = counted.select(*keys, "term", F.explode(weights).alias("s")).select(*keys, "term", F.log(F.col("s.w").cast("double")).alias("lw"), F.col("s.side").alias("side"))
     rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    values = rows.select(*keys, "g", "x", "y", *[sample_value(F.col("term"), F.col("lw"), F.col("g") * GROUP + j, table).alias(f"v{j}") for j in range(GROUP)])
-    least = [F.min(F.when(F.col(side), F.col(f"v{j}"))).alias(f"{side}{j}") for side in ("x", "y")[: 2 if edited else 1] for j in range(GROUP)]
-    groups = values.groupBy(*keys, "g").agg(*least)
-    low = lambda side: F.array(*[F.col(f"{side}{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(GROUP)])
+    values = rows.select(*keys, (F.col("g") * 4 + F.col("side")).alias("gs"), *[sample_value(F.col("term"), F.col("lw"), F.col("g") * GROUP + j, table).alias(f"v{j}") for j in range(GROUP)])
+    sides = values.groupBy(*keys, "gs").agg(*[F.min(f"v{j}").alias(f"v{j}") for j in range(GROUP)])
+    has = {"x": F.col("gs") % 4 != 1, "y": F.col("gs") % 4 != 0}
+    least = [F.min(F.when(has[side], F.col(f"v{j}"))).alias(f"{side}{j}") for side in ("x", "y")[: 2 if edited else 1] for j in range(GROUP)]
+    groups = sides.groupBy(*keys, F.shiftright("gs", 2).alias("g")).agg(*least)
+    low = lambda side: F.array(*[F.when(F.col(f"{side}{j}").isNotNull(), F.xxhash64(f"{side}{j}").bitwiseAND(F.lit(0xFFFF)).cast("int")) for j in range(GROUP)])
     joined = lambda side: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("g", low(side).alias("v")))), lambda s: s.v))
     out = groups.groupBy(*keys).agg(joined("x").alias("fingerprint"), *([joined("y").alias("edited_fingerprint")] if edited else []))
     none = lambda c: F.when(F.get(c, F.lit(0)).isNotNull(), F.col(c)).alias(c)
@@ -99,11 +97,12 @@ def _follow(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*names, *[F.when(F.col("__last"), F.col(f"__out_{c}")).otherwise(F.col(f"__in_{c}")).alias(f"next_{c}") for c in columns])
 
 
-def fingerprint_documents(docs: DataFrame, samples: int = 32, rows_per_range: int = 4000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, samples: int = 64, rows_per_range: int = 4000) -> DataFrame:
     """Fingerprint each text of docs(doc_id, text) and its edit: the last third gives way to the next text's beginning.
 
     Null texts are empty. Repeated rows each have a row. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next. An empty table gives an empty one; other columns are left out. A text of
+    any length is one row, whose words are counted before they are sampled. Null doc_ids stand last, in one range.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = docs.select("doc_id").count() // rows_per_range + 1
