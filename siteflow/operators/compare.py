@@ -31,10 +31,10 @@ def ccr(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
     """Input-oriented CCR efficiency with two inputs and one output, in closed form.
 
     With inputs per output relative to the unit's own, (a, b), the best mix of peers lies at one peer or where the
-    segment of two peers crosses the diagonal a = b. Peers on one side of it need only their lower hull, so the
-    crossing is found by joining peers of opposite sides.
+    segment of two peers crosses the diagonal a = b. The crossing is found by joining all peers of opposite sides. A peer
+    without output serves nobody; a unit without output has a null efficiency.
     """
-    p = _peers(dmus, group).select(group, key, ((F.col("p1") / F.col("py")) / (F.col("x1") / F.col("y"))).alias("a"), ((F.col("p2") / F.col("py")) / (F.col("x2") / F.col("y"))).alias("b"))
+    p = _peers(dmus, group).select(group, key, F.try_divide(F.try_divide("p1", "py"), F.try_divide("x1", "y")).alias("a"), F.try_divide(F.try_divide("p2", "py"), F.try_divide("x2", "y")).alias("b"))
     single = p.groupBy(group, key).agg(F.min(F.greatest("a", "b")).alias("h"))
     one, two = p.where("a > b").select(group, key, "a", "b"), p.where("a < b").select(group, key, F.col("a").alias("a2"), F.col("b").alias("b2"))
     crossing = one.join(two, [group, key]).select(group, key, ((F.col("a") * F.col("b2") - F.col("a2") * F.col("b")) / (F.col("a") - F.col("a2") + F.col("b2") - F.col("b"))).alias("h"))

@@ -46,17 +46,19 @@ def inside(points: DataFrame, edges: DataFrame, on: str = "poly") -> DataFrame:
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     east = spans & (F.col("lng") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.when(F.col("y2") == F.col("y1"), 1.0).otherwise(F.col("y2") - F.col("y1")) + F.col("x1"))
     keys = points.columns
-    joined = points.join(F.broadcast(edges))
-    return joined.groupBy(*keys, on).agg(((F.count_if(east) % 2 == 1) | F.bool_or(on_edge)).alias("inside"))
+    # repeated points are asked once: their sides must not be counted together
+    joined = points.groupBy(*keys).agg(F.count("*").alias("__times")).join(F.broadcast(edges))
+    asked = joined.groupBy(*keys, "__times", on).agg(((F.count_if(east) % 2 == 1) | F.bool_or(on_edge)).alias("inside"))
+    return asked.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).drop("__copy", "__times")
 
 
 def boundary_km(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Kilometres in a local plane from each point to the nearest ring side."""
+    """Kilometres in a local plane from each point to the nearest ring side; a side of no length is a point."""
     kx, ky = F.cos(F.radians("lat")) * 111.19508023, F.lit(111.19508023)
     ax, ay = (F.col("x1") - F.col("lng")) * kx, (F.col("y1") - F.col("lat")) * ky
     bx, by = (F.col("x2") - F.col("lng")) * kx, (F.col("y2") - F.col("lat")) * ky
     dx, dy = bx - ax, by - ay
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
     d = F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
     return points.join(F.broadcast(edges)).groupBy(*points.columns).agg(F.round(F.min(d), 6).alias("boundary_km"))
 

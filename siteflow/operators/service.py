@@ -19,31 +19,45 @@ def pairs(demand: DataFrame, sites: DataFrame, metric=haversine) -> DataFrame:
     return demand.crossJoin(other).withColumn("d", metric(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng")))
 
 
+def _band_cells(band: Column, km: float) -> Column:
+    """Cells around the globe in a band of latitude: each at least km wide there and one band farther from the equator."""
+    size = km / 111.0
+    far = F.least(F.lit(89.9), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size)
+    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(far)) / (1.01 * size))).cast("long")
+
+
 def within(demand: DataFrame, sites: DataFrame, km: float) -> DataFrame:
-    """Pairs at most km apart, by an equi-join on cells: each site stands in its cell and the eight around it."""
-    lat_cell = km / 111.0
-    lng_cell = km / 111.0 / 0.5  # wide enough up to 60 degrees of latitude
-    cell = lambda x, size: F.floor(x / size).cast("long")
-    left = demand.withColumn("__y", cell(F.col("lat"), lat_cell)).withColumn("__x", cell(F.col("lng"), lng_cell))
+    """Pairs at most km apart, by an equi-join on cells: each site stands in its cell and the eight around it.
+
+    Cells widen towards the poles and go around the globe, so 180 degrees is no border. Null coordinates pair with nothing;
+    repeated rows each have their pairs.
+    """
+    size = km / 111.0
+    cell = lambda lng, n: F.floor((lng + 180.0) / 360.0 * n).cast("long")
+    left = demand.withColumn("__y", F.floor(F.col("lat") / size).cast("long"))
+    left = left.withColumn("__x", F.pmod(cell(F.col("lng"), _band_cells(F.col("__y"), km)), _band_cells(F.col("__y"), km)))
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    right = sites.withColumn("__y", F.explode(F.transform(around, lambda k: cell(F.col("flat"), lat_cell) + k))).withColumn("__x", F.explode(F.transform(around, lambda k: cell(F.col("flng"), lng_cell) + k)))
+    right = sites.withColumn("__y", F.explode(F.transform(around, lambda k: F.floor(F.col("flat") / size).cast("long") + k))).withColumn("__n", _band_cells(F.col("__y"), km))
+    right = right.withColumn("__x", F.explode(F.array_distinct(F.transform(around, lambda k: F.pmod(cell(F.col("flng"), F.col("__n")) + k, F.col("__n")))))).drop("__n")
     joined = left.join(right, ["__y", "__x"]).drop("__y", "__x")
     return joined.withColumn("d", haversine(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng"))).where(F.col("d") <= km)
 
 
 def nearest(demand: DataFrame, sites: DataFrame, metric=haversine) -> DataFrame:  # noqa: ANN001
-    """Each demand row with its nearest site f and distance d; of equal ones the least f."""
+    """Each demand row with its nearest site f and distance d; of equal ones the least f. Repeated rows stay as many."""
     keys = demand.columns
-    best = pairs(demand, sites, metric).groupBy(*keys).agg(F.min(F.struct("d", "f")).alias("b"))
+    once = demand.groupBy(*keys).agg(F.count("*").alias("__times"))
+    best = pairs(once, sites, metric).groupBy(*keys, "__times").agg(F.min(F.struct("d", "f")).alias("b"))
+    best = best.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int"))))
     return best.select(*keys, F.col("b.f").alias("f"), F.col("b.d").alias("d"))
 
 
 def coverage(assigned: DataFrame, radii: Sequence[float]) -> DataFrame:
-    """By radius: orders, covered, outside, pct, target and whether it is met. One pass over the rows."""
+    """By radius: orders, covered, outside, pct (null without orders), target and whether it is met. One pass over the rows."""
     rows = assigned.select("w", "d", F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius_km"))
     out = rows.groupBy("radius_km").agg(F.sum("w").alias("orders"), F.sum(F.when(F.col("d") <= F.col("radius_km"), F.col("w")).otherwise(0)).alias("covered"))
     target = cover_target(F.col("orders"))
-    return out.select("radius_km", "orders", "covered", (F.col("orders") - F.col("covered")).alias("outside"), F.round(100.0 * F.col("covered") / F.col("orders"), 6).alias("coverage_pct"), target.alias("target"), (F.col("covered") >= target).alias("met"))
+    return out.select("radius_km", "orders", "covered", (F.col("orders") - F.col("covered")).alias("outside"), F.round(F.try_divide(100.0 * F.col("covered"), F.col("orders")), 6).alias("coverage_pct"), target.alias("target"), (F.col("covered") >= target).alias("met"))
 
 
 def empirical_quantiles(assigned: DataFrame, by: list[str], percents: Sequence[int] = (50, 95, 99, 100)) -> DataFrame:
