@@ -19,14 +19,16 @@ def _h(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Great-circle kilometres, arcsine form."""
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _h(lat1, lng1, lat2, lng2)))))
+    """Great-circle kilometres, arcsine form; null where a coordinate is."""
+    h = _h(lat1, lng1, lat2, lng2)  # least() and greatest() pass over nulls
+    return F.when(h.isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))))
 
 
 def haversine_atan2(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """The same by atan2, as a cross-check."""
-    h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), _h(lat1, lng1, lat2, lng2)))
-    return 2 * EARTH_KM * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+    raw = _h(lat1, lng1, lat2, lng2)
+    h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
+    return F.when(raw.isNotNull(), 2 * EARTH_KM * F.atan2(F.sqrt(h), F.sqrt(1 - h)))
 
 
 def geodesic(lat1: Column, lng1: Column, lat2: Column, lng2: Column, rounds: int = 12) -> Column:

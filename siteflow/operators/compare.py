@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,20 +29,135 @@ def fdh(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
     return _peers(dmus, group).where(F.col("py") >= F.col("y") - 1e-6).groupBy(group, key).agg(F.round(F.min(ratio), 6).alias("h_fdh"))
 
 
-def ccr(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
-    """Input-oriented CCR efficiency with two inputs and one output, in closed form.
+def _ratios(dmus: DataFrame, group: str, key: str) -> DataFrame:
+    """Units and the peers that may serve them, as inputs for an output of one relative to the unit's own: a and b.
+
+    A mix of peers is no better for one that another peer beats in both inputs, so only the frontier of a group is joined.
+    """
+    each = dmus.select(F.col(group).alias("__g"), F.col(key).alias("peer"), F.try_divide("x1", "y").alias("p1"), F.try_divide("x2", "y").alias("p2"), F.col("y").alias("py")).where("p1 is not null and p2 is not null")
+    peers = pareto(each, "__g", "p1", "p2", "peer")
+    joined = dmus.join(peers, F.col(group) == F.col("__g"), "left").drop("__g")
+    return joined.withColumn("a", F.try_divide("p1", F.try_divide("x1", "y"))).withColumn("b", F.try_divide("p2", F.try_divide("x2", "y")))
+
 
-    With inputs per output relative to the unit's own, (a, b), the best mix of peers lies at one peer or where the
-    segment of two peers crosses the diagonal a = b. The crossing is found by joining all peers of opposite sides. A peer
-    without output serves nobody; a unit without output has a null efficiency.
+def ccr_full(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
+    """Input-oriented CCR efficiency with two inputs and one output, in closed form: h, slacks, targets, peers and class.
+
+    With inputs per output relative to the unit's own, (a, b), the best mix of peers lies at one peer or where the segment of
+    two crosses the diagonal a = b. There no input has slack; at one peer the input with the smaller ratio has. The output
+    never has any. As one slack at most is positive, weighting the slacks changes nothing. A peer without output serves
+    nobody; a unit without output has a null efficiency. Peers are (peer, weight), weights in units of the peer's inputs.
     """
-    p = _peers(dmus, group).select(group, key, F.try_divide(F.try_divide("p1", "py"), F.try_divide("x1", "y")).alias("a"), F.try_divide(F.try_divide("p2", "py"), F.try_divide("x2", "y")).alias("b"))
+    p = _ratios(dmus, group, key)
+    mine = [group, key, "x1", "x2", "y"]
+    weight = F.col("y") / F.col("py")
+    single = p.select(*mine, F.greatest("a", "b").alias("h"), "a", "b", F.array(F.struct("peer", weight.alias("weight"))).alias("peers"))
+    side = lambda cond, n: p.where(cond).select(F.col(group).alias(f"g{n}"), F.col(key).alias(f"k{n}"), F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"), F.col("peer").alias(f"peer{n}"), F.col("py").alias(f"y{n}"))
+    one = p.where("a > b")
+    two = side("a < b", 2)
+    share = (F.col("b2") - F.col("a2")) / (F.col("a") - F.col("b") + F.col("b2") - F.col("a2"))  # of the first peer
+    at = share * F.col("a") + (1 - share) * F.col("a2")
+    both = F.array(F.struct("peer", (share * weight).alias("weight")), F.struct(F.col("peer2").alias("peer"), ((1 - share) * F.col("y") / F.col("y2")).alias("weight")))
+    crossing = one.join(two, (F.col(group) == F.col("g2")) & (F.col(key) == F.col("k2"))).select(*mine, at.alias("h"), at.alias("a"), at.alias("b"), both.alias("peers"))
+    best = single.unionByName(crossing).groupBy(*mine).agg(F.min_by(F.struct("h", "a", "b", "peers"), F.struct(F.round("h", 12), F.round(F.col("a") + F.col("b"), 12))).alias("s")).select(*mine, "s.*")
+    clean = lambda c: F.when(c < 1e-9, 0.0).otherwise(c)
+    s1, s2 = clean((F.col("h") - F.col("a")) * F.col("x1")), clean((F.col("h") - F.col("b")) * F.col("x2"))
+    out = best.select(*mine, "h", s1.alias("s1"), s2.alias("s2"), F.sort_array("peers").alias("peers"))
+    kind = F.when(F.col("h").isNull(), None).when(F.col("h") <= 1 - 1e-6, CLASSES[2]).when(F.greatest("s1", "s2") < 1e-4, CLASSES[0]).otherwise(CLASSES[1])
+    return out.select("*", (F.col("h") * F.col("x1") - F.col("s1")).alias("target1"), (F.col("h") * F.col("x2") - F.col("s2")).alias("target2"), kind.alias("class"))
+
+
+#: The classes' names.
+CLASSES = ("Pareto eficiente", "fracamente eficiente", "ineficiente")
+
+
+def ccr(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
+    """The efficiency of ccr_full() alone."""
+    p = _ratios(dmus, group, key).select(group, key, "a", "b")
     single = p.groupBy(group, key).agg(F.min(F.greatest("a", "b")).alias("h"))
-    one, two = p.where("a > b").select(group, key, "a", "b"), p.where("a < b").select(group, key, F.col("a").alias("a2"), F.col("b").alias("b2"))
+    one, two = p.where("a > b"), p.where("a < b").select(group, key, F.col("a").alias("a2"), F.col("b").alias("b2"))
     crossing = one.join(two, [group, key]).select(group, key, ((F.col("a") * F.col("b2") - F.col("a2") * F.col("b")) / (F.col("a") - F.col("a2") + F.col("b2") - F.col("b"))).alias("h"))
     return single.unionByName(crossing).groupBy(group, key).agg(F.round(F.min("h"), 6).alias("h_ccr"))
 
 
+def _least_mix(c: np.ndarray, e: np.ndarray) -> tuple[float, int, int, float]:
+    """Least cost of a mix of peers whose mean of e is at least 0: (cost, i, j, share of i). One of them is always at 0 or above."""
+    up, down = np.flatnonzero(e >= 0), np.flatnonzero(e < 0)
+    i = up[np.argmin(c[up])]
+    best = (float(c[i]), int(i), int(i), 1.0)
+    cheaper = down[c[down] < best[0]]
+    if len(cheaper):
+        # each peer below with each above: where their segment reaches 0
+        share = e[cheaper][None, :] / (e[cheaper][None, :] - e[up][:, None])
+        cost = share * c[up][:, None] + (1 - share) * c[cheaper][None, :]
+        k = int(np.argmin(cost))
+        if cost.flat[k] < best[0]:
+            a, b = divmod(k, len(cheaper))
+            best = (float(cost.flat[k]), int(up[a]), int(cheaper[b]), float(share.flat[k]))
+    return best
+
+
+def least_scale(a: np.ndarray, b: np.ndarray, e: np.ndarray) -> float:
+    """Least max(mean a, mean b) over mixes with a mean of e of at least 0.
+
+    The least mean of t a + (1 - t) b is concave and piecewise linear in t; its greatest value over t in [0, 1] is the answer.
+    Two lines that bound it are kept, and their crossing is tried until it lies on it.
+    """
+
+    def line(t: float) -> tuple[float, float]:
+        _, i, j, s = _least_mix(t * a + (1 - t) * b, e)
+        return s * a[i] + (1 - s) * a[j], s * b[i] + (1 - s) * b[j]
+
+    low, high = line(0.0), line(1.0)  # (value at t = 1, value at t = 0)
+    while True:
+        if low[0] <= low[1]:
+            return float(low[1])
+        if high[0] >= high[1]:
+            return float(high[0])
+        t = (high[1] - low[1]) / (low[0] - low[1] - high[0] + high[1])
+        value = t * low[0] + (1 - t) * low[1]
+        mid = line(t)
+        if t * mid[0] + (1 - t) * mid[1] >= value - 1e-13:
+            return float(value)
+        if mid[0] >= mid[1]:
+            low = mid
+        else:
+            high = mid
+
+
+def bcc(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
+    """Input-oriented BCC efficiency (weights of peers add up to one), two inputs and one output.
+
+    A group is one task: groups are profiles of some tens of networks. Inputs are above 0. Time grows with the square of a group for each unit.
+    """
+
+    def each(g: pd.DataFrame) -> pd.DataFrame:
+        x1, x2, y = (g[c].to_numpy(float) for c in ("x1", "x2", "y"))
+        h = [least_scale(x1 / p, x2 / q, y - r) for p, q, r in zip(x1, x2, y, strict=True)]
+        return pd.DataFrame({group: g[group], key: g[key], "h_bcc": np.round(h, 6)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in dmus.schema}
+    return dmus.select(group, key, "x1", "x2", "y").groupBy(group).applyInPandas(each, f"{group} {kinds[group]}, {key} {kinds[key]}, h_bcc double")
+
+
+def dominance_flags(nets: DataFrame, group: str, key: str, sets: dict[str, list[str]], tolerance: float = 1e-9) -> DataFrame:
+    """For each set of measures (less is better), whether some network of the group dominates the row beyond the tolerance.
+
+    Networks of a group are compared with each other; groups are profiles of some tens of networks.
+    """
+    measures = sorted({m for ms in sets.values() for m in ms})
+    other = nets.select(F.col(group).alias("__g"), *[F.col(m).alias(f"__{m}") for m in measures])
+
+    def dominated(ms: list[str]) -> Column:
+        no_worse, better = F.lit(True), F.lit(False)
+        for m in ms:
+            no_worse &= F.col(f"__{m}") <= F.col(m) + tolerance
+            better |= F.col(f"__{m}") < F.col(m) - tolerance
+        return no_worse & better
+
+    return nets.join(other, F.col(group) == F.col("__g")).groupBy(group, key).agg(*[F.bool_or(dominated(ms)).alias(name) for name, ms in sets.items()])
+
+
 def regressions(curve: DataFrame, by: list[str]) -> DataFrame:
     """By curve: first feasible k, steps from feasible to infeasible, and whether the first k is feasible already."""
     along = Window.partitionBy(*by).orderBy("k")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import cos, pi, radians, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteflow.functions.geo import cover_target, haversine
+from siteflow.functions.geo import cover_target, haversine, haversine_atan2
 
 #: Rows up to which the facility side is broadcast; beyond it both sides of the product stay distributed.
 BROADCAST_ROWS = 200_000
+#: Sites up to which the nearest one is found by the plain product, and how many a cell search expects within its radius.
+PRODUCT_SITES, EXPECTED_NEAR = 300, 16
 
 
 def pairs(demand: DataFrame, sites: DataFrame, metric=haversine) -> DataFrame:  # noqa: ANN001
@@ -32,6 +35,11 @@ def within(demand: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     Cells widen towards the poles and go around the globe, so 180 degrees is no border. Null coordinates pair with nothing;
     repeated rows each have their pairs.
     """
+    return _cell_pairs(demand, sites, km, haversine, "inner").where(F.col("d") <= km)
+
+
+def _cell_pairs(demand: DataFrame, sites: DataFrame, km: float, metric, how: str) -> DataFrame:  # noqa: ANN001
+    """Pairs of neighbouring cells with their distance: all that are at most km apart, and some farther ones."""
     size = km / 111.0
     cell = lambda lng, n: F.floor((lng + 180.0) / 360.0 * n).cast("long")
     left = demand.withColumn("__y", F.floor(F.col("lat") / size).cast("long"))
@@ -39,19 +47,46 @@ def within(demand: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     right = sites.withColumn("__y", F.explode(F.transform(around, lambda k: F.floor(F.col("flat") / size).cast("long") + k))).withColumn("__n", _band_cells(F.col("__y"), km))
     right = right.withColumn("__x", F.explode(F.array_distinct(F.transform(around, lambda k: F.pmod(cell(F.col("flng"), F.col("__n")) + k, F.col("__n")))))).drop("__n")
-    joined = left.join(right, ["__y", "__x"]).drop("__y", "__x")
-    return joined.withColumn("d", haversine(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng"))).where(F.col("d") <= km)
+    joined = left.join(right, ["__y", "__x"], how).drop("__y", "__x")
+    return joined.withColumn("d", metric(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng")))
+
+
+def _search_km(sites: DataFrame) -> float | None:
+    """Radius in which sites spread evenly over their box would have EXPECTED_NEAR; None where the product serves."""
+    box = sites.agg(F.count("*"), F.min("flat"), F.max("flat"), F.min("flng"), F.max("flng")).first()
+    if box[0] <= PRODUCT_SITES:
+        return None
+    high, wide = (box[2] - box[1]) * 111.2, (box[4] - box[3]) * 111.2 * cos(radians((box[1] + box[2]) / 2))
+    km = max(0.1, sqrt(EXPECTED_NEAR * max(high, 0.1) * max(wide, 0.1) / (pi * box[0])))
+    return km if km < 2000 else None
 
 
 def nearest(demand: DataFrame, sites: DataFrame, metric=haversine) -> DataFrame:  # noqa: ANN001
-    """Each demand row with its nearest site f and distance d; of equal ones the least f. Repeated rows stay as many."""
+    """Each demand row with its nearest site f and distance d; of equal ones the least f. Repeated rows stay as many.
+
+    Beyond PRODUCT_SITES sites the neighbouring cells are searched first. A site found within the radius is the nearest, as
+    the cells hold all sites so near; rows without one are compared with all sites. Sites without coordinates are left
+    out; a demand row without them has the least f and a null d. Metrics other than the spherical ones take the product.
+    """
     keys = demand.columns
     once = demand.groupBy(*keys).agg(F.count("*").alias("__times"))
-    best = pairs(once, sites, metric).groupBy(*keys, "__times").agg(F.min(F.struct("d", "f")).alias("b"))
+    sites = sites.where("flat is not null and flng is not null")
+    km = _search_km(sites) if metric in (haversine, haversine_atan2) else None
+    if km is None:
+        best = _least(pairs(once, sites, metric), keys)
+    else:
+        first = _least(_cell_pairs(once, sites, km, metric, "left").withColumn("f", F.when(F.col("d") <= km, F.col("f"))), keys)
+        rest = first.where("b.f is null").drop("b")
+        best = first.where("b.f is not null").unionByName(_least(pairs(rest, sites, metric), keys))
     best = best.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int"))))
     return best.select(*keys, F.col("b.f").alias("f"), F.col("b.d").alias("d"))
 
 
+def _least(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The least (d, f) of each demand row; a null struct where no f is given."""
+    return rows.groupBy(*keys, "__times").agg(F.min(F.when(F.col("f").isNotNull(), F.struct("d", "f"))).alias("b"))
+
+
 def coverage(assigned: DataFrame, radii: Sequence[float]) -> DataFrame:
     """By radius: orders, covered, outside, pct (null without orders), target and whether it is met. One pass over the rows."""
     rows = assigned.select("w", "d", F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius_km"))
