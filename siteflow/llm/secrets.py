@@ -2,7 +2,8 @@
 
 A random string falls into many tokens of a BPE vocabulary, prose into few: a candidate with fewer than
 ``least_ratio`` characters a token is a secret of kind ``token``, unless it is a digest (hex of a known length), a
-UUID, a number, or an identifier of the shape and the words of plain ones. What is left of a candidate outside the spans
+UUID, a number, or an identifier of the shape and the words of plain ones. Strings of letters alone need fewer than
+``letters_ratio``, as long words of rare syllables come near ``least_ratio`` too. What is left of a candidate outside the spans
 of known forms is tested too, and of one that isn't a secret as a whole each part between separators.
 """
 
@@ -62,13 +63,15 @@ def _known(x: str, encoding, least_ratio: float) -> bool:  # noqa: ANN001
     return all(n == 1 or k >= least_ratio * n for k, n in counts)
 
 
-def _secret(x: str, encoding, least_ratio: float) -> bool:  # noqa: ANN001
+def _secret(x: str, encoding, least_ratio: float, letters_ratio: float) -> bool:  # noqa: ANN001
     if not any(c.isalpha() for c in x) or DIGEST.match(x) or UUID.match(x):
         return False
+    if x.isalpha():
+        least_ratio = min(least_ratio, letters_ratio)
     return len(x) < least_ratio * len(encoding.encode_ordinary(x)) and not (PLAIN.match(x) and _known(x, encoding, least_ratio))
 
 
-def scan(text: str, encoding, least_ratio: float = 2.2) -> list[tuple[str, int, int]]:  # noqa: ANN001
+def scan(text: str, encoding, least_ratio: float = 2.2, letters_ratio: float = 2.0) -> list[tuple[str, int, int]]:  # noqa: ANN001
     """(kind, start, end) by start, then kind; places in code points."""
     found: list[tuple[int, int, int]] = []
     low = text.lower()
@@ -80,10 +83,10 @@ def scan(text: str, encoding, least_ratio: float = 2.2) -> list[tuple[str, int,
     base = sorted(found)
     for m in CANDIDATE.finditer(text):
         for s, e in _outside(m.start(), m.end(), base):
-            if _secret(text[s:e], encoding, least_ratio):
+            if _secret(text[s:e], encoding, least_ratio, letters_ratio):
                 found.append((s, 3, e))
             elif not UUID.match(text[s:e]):
-                found += [(s + p.start(), 3, s + p.end()) for p in PART.finditer(text[s:e]) if p.end() - p.start() < e - s and _secret(p.group(), encoding, least_ratio)]
+                found += [(s + p.start(), 3, s + p.end()) for p in PART.finditer(text[s:e]) if p.end() - p.start() < e - s and _secret(p.group(), encoding, least_ratio, letters_ratio)]
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
