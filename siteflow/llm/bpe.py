@@ -37,6 +37,41 @@ BLANKS_COUNT = re.compile(rf" ?[{LETTERS}]+(?=[ \n.,;:!?|*#$%&]|$)|[.,;:!?|*#$%&
 BLANKS_DROP = re.compile(rf"[{LETTERS}]+(?=[ \n.,;:!?|*#$%&]|$)|[.,;:!?|*#$%&]+(?=[ \n]|$)|[^\s]+")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that a byte-level model has for each byte: printable ones stay, the others follow from U+0100 on."""
+    stay = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    moved = [b for b in range(256) if b not in stay]
+    return {b: chr(0x100 + k) for k, b in enumerate(moved)}
+
+
+class Pieces(dict):
+    """The ids of pieces, encoded when first asked for. A full cache becomes the older one, which is asked before encoding."""
+
+    def __init__(self, tokenizer, cached: int) -> None:  # noqa: ANN001
+        super().__init__()
+        self.whole, self.model, self.cached, self.older = tokenizer.encode, tokenizer.model.tokenize, cached, {}
+        self.alphabet = byte_alphabet()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.cached:
+            self.older = dict(self)
+            self.clear()
+        known = self.older.get(piece)
+        if known is None:
+            if (piece[1:] if piece[0] == " " else piece).isalpha():
+                # one word of the pre-tokenizer: the model takes it in its own alphabet, where ASCII letters stay and a blank is U+0120
+                own = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+                known = array("i", [t.id for t in self.model(own)]).tobytes()
+            else:
+                known = array("i", self.whole(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = known
+        return known
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class Encoder:
     """A tokenizers file with a bounded cache of encoded pieces; one in each Python worker."""
 
@@ -56,8 +91,9 @@ class Encoder:
         self.between = "\n" if kind == "ByteLevel" else " | "
         mark = self.t.encode(self.between, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        # then ASCII letters are the model's own, and a blank before them is U+0120
-        self.plain = kind == "ByteLevel" and self.t.normalizer is None and not self.t.pre_tokenizer.add_prefix_space
+        # then the model can be asked for a word by itself
+        plain = kind == "ByteLevel" and self.t.normalizer is None and not self.t.pre_tokenizer.add_prefix_space
+        self.direct = Pieces(self.t, cached) if plain else None
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.places: dict[str, bytes] = {}
@@ -75,12 +111,6 @@ class Encoder:
             else:
                 ids[piece] = known
         words = [p for p in todo if p.isalpha() or (p[0] == " " and p[1:].isalpha())] if self.mark is not None else []
-        if self.plain:
-            model = self.t.model.tokenize
-            for piece in words:
-                if piece.isascii():
-                    ids[piece] = array("i", [t.id for t in model(piece.replace(" ", "\u0120"))]).tobytes()
-            words = [p for p in words if not p.isascii()]
         for at in range(0, len(words), 500):
             some = words[at : at + 500]
             got = np.array(self.t.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, "<i4")
@@ -100,6 +130,11 @@ class Encoder:
         """The ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
         whole = self.t.encode
+        if self.direct is not None:
+            find, known = self.pieces.findall, self.direct.__getitem__
+            for x in texts:
+                out.append(np.array(whole(x, add_special_tokens=False).ids, "<i4").tobytes() if UNUSUAL.search(x) else b"".join(map(known, find(x))))
+            return out
         for at in range(0, len(texts), 64):
             some = texts[at : at + 64]
             cut = [None if UNUSUAL.search(x) else self.pieces.findall(x) for x in some]
@@ -116,6 +151,8 @@ class Encoder:
     def forget(self) -> None:
         """Free the pieces: Spark keeps a worker for other stages."""
         self.ids, self.older, self.places = {}, {}, {}
+        if self.direct is not None:
+            self.direct.forget()
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
