@@ -19,12 +19,11 @@ def _by_rank(demand: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.groupBy("__row", "w").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "d"))), lambda s: s["d"]).alias("ds"))
 
 
-def _pair_values(rows: DataFrame, n: int, value) -> DataFrame:  # noqa: ANN001
-    """(i, j, ...) for each pair of ranks and each row, summed before they are shuffled."""
-    ranks = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in range(1, n + 1) for j in range(i + 1, n + 1)]).cast("array<struct<i:bigint,j:bigint>>")
-    at = rows.withColumn("p", F.explode(ranks))
-    di, dj = F.get("ds", (F.col("p.i") - 1).cast("int")), F.get("ds", (F.col("p.j") - 1).cast("int"))
-    return at.select("p.i", "p.j", value(di, dj).alias("v"))
+def _pair_values(rows: DataFrame, n: int, value, *by: str) -> DataFrame:  # noqa: ANN001
+    """(by, i, j, v) for each pair of ranks and each row."""
+    ranks = f"flatten(transform(sequence(1, {n - 1}), i -> transform(sequence(i + 1, {n}), j -> struct(i, j))))" if n > 1 else "array()"
+    at = rows.withColumn("p", F.explode(F.expr(ranks).cast("array<struct<i:int,j:int>>")))
+    return at.select(*by, F.col("p.i").cast("long").alias("i"), F.col("p.j").cast("long").alias("j"), value(F.get("ds", F.col("p.i") - 1), F.get("ds", F.col("p.j") - 1)).alias("v"))
 
 
 def best_cover_pair(demand: DataFrame, candidates: DataFrame, radii: Sequence[float]) -> DataFrame:
@@ -33,10 +32,7 @@ def best_cover_pair(demand: DataFrame, candidates: DataFrame, radii: Sequence[fl
     rows = _by_rank(demand, candidates).withColumn("radius_km", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
     # rows with the same covering sites are one
     rows = rows.withColumn("ds", F.transform("ds", lambda d: F.when(d <= F.col("radius_km"), 0.0).otherwise(1.0))).groupBy("radius_km", "ds").agg(F.sum("w").alias("w"))
-    parts = [_pair_values(rows.where(F.col("radius_km") == float(r)), n, lambda a, b: F.when(F.least(a, b) == 0, F.col("w")).otherwise(0)).groupBy("i", "j").agg(F.sum("v").alias("covered")).withColumn("radius_km", F.lit(float(r))) for r in radii]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = _pair_values(rows, n, lambda a, b: F.when(F.least(a, b) == 0, F.col("w")).otherwise(0), "radius_km").groupBy("radius_km", "i", "j").agg(F.sum("v").alias("covered"))
     best = every.groupBy("radius_km").agg(F.max_by(F.struct("i", "j", "covered"), F.struct("covered", -F.col("i"), -F.col("j"))).alias("s"), F.count("*").alias("pairs"))
     return best.select("radius_km", F.col("s.i").alias("first"), F.col("s.j").alias("second"), "s.covered", "pairs")
 
