@@ -450,3 +450,15 @@ def test_pipeline_of_odd_rows(spark, docs):
     safe = cp.secrets(spark, odd, "")
     assert safe.count() == len(rows) and cp.mixing(spark, safe, "").columns == odd.columns
     assert cp.encoding(spark, odd.limit(0), "").count() == 0 and cp.near_copies(spark, odd.limit(0), "").count() == 0
+
+
+def test_direct_pieces_with_a_small_cache():
+    enc = bpe.Encoder(tokenizer_file("byte_bpe_50k.json"), cached=40)
+    r = random.Random(6)
+    signs = "abcdefgh  ABC éßñŉɏÀ 012 ,.;:!?|*#$%&\n\t'’-“”<|µ÷×"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["", " ", "a" * 5000, "é" * 3000, " Straße façade"]
+    for x, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, "<i4").tolist() == enc.t.encode(x, add_special_tokens=False).ids, x
+    assert len(enc.direct) <= 40 and len(enc.direct.older) <= 40
+    enc.forget()
+    assert not enc.direct and not enc.direct.older
