@@ -213,3 +213,16 @@ def test_agreement(spark):
     rows = [(5.0, v, m, k) for v, a, b, c in ((1, 3, 7, 1), (2, 4, 8, None)) for m, k in (("a", a), ("b", b), ("c", c))]
     found = variants.agreement(spark.createDataFrame(rows, "radius_km double, variant int, method string, k int"), 2).collect()
     assert {r.method_a + r.method_b: r.label for r in found} == {"ab": "stable_observed_order", "ac": "incomplete_variants_no_classification", "bc": "incomplete_variants_no_classification"}
+
+
+def test_cross_check_counts_every_pair(spark):
+    """Beyond the bound on pairs, far cells are still computed: near the antipode the two forms differ."""
+    r = np.random.default_rng(9)
+    places = [(float(a), float(b)) for a, b in zip(r.uniform(-90, 90, 60), r.uniform(-180, 180, 60))] + [(90.0, 180.0), (-90.0, -180.0), (95.0, 10.0), (10.0, 200.0)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(places)] + [(99, None, 1.0)], "prefix long, lat double, lng double")
+    s = spark.createDataFrame([(i, -a + 1e-6 * (i % 3), b - 180.0 if b > 0 else b + 180.0) for i, (a, b) in enumerate(places)] + [(99, 1.0, None)], "f long, flat double, flng double")
+    want = service.cross_check(d, s).first()
+    assert want.n == 65 * 65 and want.disagree > 0
+    assert service.cross_check(d, s, few=0).first() == want
+    home = spark.createDataFrame([(1, -22.5, -43.2)], "f long, flat double, flng double")
+    assert tuple(service.cross_check(spark.range(1000).selectExpr("id prefix", "-23 + id / 1000 lat", "-44 + id / 900 lng"), home, few=0).first()) == (1000, 0)
