@@ -7,14 +7,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteflow.sources.files import work_folder
+
 
 def pareto(df: DataFrame, by: str, a: str, b: str, key: str) -> DataFrame:
-    """Rows that none of their group is at least as good as in a and b and better in one (less is better). Of rows of one a
-    only the least b can stay, and its b must be below all of smaller a: a window instead of a self-join."""
-    best = Window.partitionBy(by, a)
-    before = Window.partitionBy(by).orderBy(a).rangeBetween(Window.unboundedPreceding, -1)
-    marked = df.withColumn("__m", F.min(b).over(best)).withColumn("__p", F.min(b).over(before))
-    return marked.where((F.col(b) == F.col("__m")) & (F.col("__p").isNull() | (F.col(b) < F.col("__p")))).drop("__m", "__p")
+    """Rows that none of their group is at least as good as in a and b and better in one (less is better). Of all rows up to
+    one's a, the least b must be its own, and no smaller a may have it: a window instead of a self-join."""
+    up = Window.partitionBy(by).orderBy(a)
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    marked = df.withColumn("__m", F.min(F.when(known, F.struct(F.col(b).alias("b"), F.col(a).alias("a")))).over(up))
+    return marked.where(known & (F.col("__m.b") == F.col(b)) & (F.col("__m.a") == F.col(a))).drop("__m")
 
 
 def _peers(dmus: DataFrame, group: str) -> DataFrame:
@@ -29,37 +31,73 @@ def fdh(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
     return _peers(dmus, group).where(F.col("py") >= F.col("y") - 1e-6).groupBy(group, key).agg(F.round(F.min(ratio), 6).alias("h_fdh"))
 
 
+def _frontier(dmus: DataFrame, group: str, key: str) -> DataFrame:
+    """Peers by group (__g) with their inputs for an output of one, p1 and p2: those that no other beats in both."""
+    each = dmus.select(F.col(group).alias("__g"), F.col(key).alias("peer"), F.try_divide("x1", "y").alias("p1"), F.try_divide("x2", "y").alias("p2"), F.col("y").alias("py")).where("p1 is not null and p2 is not null")
+    return pareto(each, "__g", "p1", "p2", "peer")
+
+
 def _ratios(dmus: DataFrame, group: str, key: str) -> DataFrame:
     """Units and the peers that may serve them, as inputs for an output of one relative to the unit's own: a and b.
 
     A mix of peers is no better for one that another peer beats in both inputs, so only the frontier of a group is joined.
     """
-    each = dmus.select(F.col(group).alias("__g"), F.col(key).alias("peer"), F.try_divide("x1", "y").alias("p1"), F.try_divide("x2", "y").alias("p2"), F.col("y").alias("py")).where("p1 is not null and p2 is not null")
-    peers = pareto(each, "__g", "p1", "p2", "peer")
+    peers = _frontier(dmus, group, key)
     joined = dmus.join(peers, F.col(group) == F.col("__g"), "left").drop("__g")
     return joined.withColumn("a", F.try_divide("p1", F.try_divide("x1", "y"))).withColumn("b", F.try_divide("p2", F.try_divide("x2", "y")))
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, as what makes the units (nearest sites of all demand) is read several times."""
+    path = work_folder(df.sparkSession, "units")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _corners(g: pd.DataFrame) -> pd.DataFrame:
+    """Of a frontier's rows (p1, p2), those on its lower hull, by rising p1."""
+    g = g.sort_values(["p1", "p2", "peer"]).drop_duplicates(["p1", "p2"])
+    x, y, kept = g.p1.to_numpy(), g.p2.to_numpy(), []
+    for k in range(len(g)):
+        while len(kept) > 1 and (y[kept[-1]] - y[kept[-2]]) * (x[k] - x[kept[-2]]) > (y[k] - y[kept[-2]]) * (x[kept[-1]] - x[kept[-2]]):
+            kept.pop()
+        kept.append(k)
+    return g.iloc[kept]
+
+
 def ccr_full(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
     """Input-oriented CCR efficiency with two inputs and one output, in closed form: h, slacks, targets, peers and class.
 
     With inputs per output relative to the unit's own, (a, b), the best mix of peers lies at one peer or where the segment of
-    two crosses the diagonal a = b. There no input has slack; at one peer the input with the smaller ratio has. The output
-    never has any. As one slack at most is positive, weighting the slacks changes nothing. A peer without output serves
-    nobody; a unit without output has a null efficiency. Peers are (peer, weight), weights in units of the peer's inputs.
+    two crosses the diagonal a = b; these two are neighbours on the lower hull of the group's peers. There no input has
+    slack; at one peer the input with the smaller ratio has. The output never has any. As one slack at most is positive,
+    weighting the slacks changes nothing. A peer without output serves nobody; a unit without output has a null efficiency.
+    Peers are (peer, weight), weights in units of the peer's inputs. A group's hull is one row, which each unit meets; a
+    unit's mixes are never rows.
     """
-    p = _ratios(dmus, group, key)
+    units = _held(dmus.select(group, key, "x1", "x2", "y"))
     mine = [group, key, "x1", "x2", "y"]
-    weight = F.col("y") / F.col("py")
-    single = p.select(*mine, F.greatest("a", "b").alias("h"), "a", "b", F.array(F.struct("peer", weight.alias("weight"))).alias("peers"))
-    side = lambda cond, n: p.where(cond).select(F.col(group).alias(f"g{n}"), F.col(key).alias(f"k{n}"), F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"), F.col("peer").alias(f"peer{n}"), F.col("py").alias(f"y{n}"))
-    one = p.where("a > b")
-    two = side("a < b", 2)
-    share = (F.col("b2") - F.col("a2")) / (F.col("a") - F.col("b") + F.col("b2") - F.col("a2"))  # of the first peer
-    at = share * F.col("a") + (1 - share) * F.col("a2")
-    both = F.array(F.struct("peer", (share * weight).alias("weight")), F.struct(F.col("peer2").alias("peer"), ((1 - share) * F.col("y") / F.col("y2")).alias("weight")))
-    crossing = one.join(two, (F.col(group) == F.col("g2")) & (F.col(key) == F.col("k2"))).select(*mine, at.alias("h"), at.alias("a"), at.alias("b"), both.alias("peers"))
-    best = single.unionByName(crossing).groupBy(*mine).agg(F.min_by(F.struct("h", "a", "b", "peers"), F.struct(F.round("h", 12), F.round(F.col("a") + F.col("b"), 12))).alias("s")).select(*mine, "s.*")
+    front = _frontier(units, group, key)
+    hull = front.groupBy("__g").applyInPandas(_corners, front.schema).groupBy("__g").agg(F.sort_array(F.collect_list(F.struct("p1", "p2", "py", "peer"))).alias("__hull"))
+    u1, u2 = F.try_divide("x1", "y"), F.try_divide("x2", "y")
+    at = F.transform("__hull", lambda p: F.struct(p.peer.alias("peer"), (F.col("y") / p.py).alias("weight"), F.try_divide(p.p1, u1).alias("a"), F.try_divide(p.p2, u2).alias("b")))
+    p = units.join(F.broadcast(hull), F.col(group) == F.col("__g"), "left").select(*mine, at.alias("p"))
+
+    def mix(h: Column, a: Column, b: Column, *peers: tuple[Column, Column]) -> Column:
+        listed = F.array(*[F.struct(x.alias("peer"), w.alias("weight")) for x, w in peers])
+        return F.struct(F.round(h, 12).alias("h12"), F.round(a + b, 12).alias("s12"), h.alias("h"), a.alias("a"), b.alias("b"), listed.alias("peers"))
+
+    def crossing(two: Column, one: Column) -> Column:
+        share = (two.b - two.a) / (one.a - one.b + two.b - two.a)  # of the one with a > b
+        h = share * one.a + (1 - share) * two.a
+        return mix(h, h, h, (one.peer, share * one.weight), (two.peer, (1 - share) * two.weight))
+
+    single = F.transform("p", lambda x: mix(F.greatest(x.a, x.b), x.a, x.b, (x.peer, x.weight)))
+    # a rises along the hull and b falls, so the diagonal is crossed once
+    beside = F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("l"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("r"))
+    edge = F.filter(beside, lambda e: (e["l"].a < e["l"].b) & (e["r"].a > e["r"].b))
+    crossed = F.transform(edge, lambda e: crossing(e["l"], e["r"]))
+    best = p.select(*mine, F.array_min(F.filter(F.concat(single, crossed), lambda s: s.h.isNotNull())).alias("s")).select(*mine, "s.h", "s.a", "s.b", "s.peers")
     clean = lambda c: F.when(c < 1e-9, 0.0).otherwise(c)
     s1, s2 = clean((F.col("h") - F.col("a")) * F.col("x1")), clean((F.col("h") - F.col("b")) * F.col("x2"))
     out = best.select(*mine, "h", s1.alias("s1"), s2.alias("s2"), F.sort_array("peers").alias("peers"))

@@ -117,3 +117,25 @@ def test_empty_tables(spark):
     cand = service.rank_candidates(demand, 5)
     assert optima.best_median_pair(demand, cand).count() == optima.greedy_median(demand, cand, 2).count() == optima.lloyd(demand, 2, 2).count() == 0
     assert optima.best_cover_pair(demand, cand, (1.0,)).count() == 0
+
+
+def test_frontier_of_fractions_is_small(spark):
+    """Ratios below 1 apart: every unit was once a peer of its group, and each pair of them a row."""
+    rnd = random.Random(4)
+    rows = [(0, k, rnd.uniform(0.1, 0.9), rnd.uniform(0.1, 0.9)) for k in range(300)] + [(0, 300, 0.05, 0.5), (0, 301, 0.05, 0.5), (0, 302, 0.5, 0.05), (0, 303, 0.5, 0.06)]
+    got = {r.dmu for r in compare.pareto(spark.createDataFrame(rows, "g long, dmu long, a double, b double"), "g", "a", "b", "dmu").collect()}
+    beats = lambda p, q: p[2] <= q[2] and p[3] <= q[3] and p[2:] != q[2:]
+    assert got == {q[1] for q in rows if not any(beats(p, q) for p in rows)} and len(got) < 60
+
+
+def test_slacks_of_a_large_group(spark):
+    rnd = random.Random(6)
+    units = [(0, k, float(rnd.randint(1, 40)), rnd.uniform(0.1, 20), float(rnd.randint(20, 900))) for k in range(400)]
+    full = {r.dmu: r for r in compare.ccr_full(spark.createDataFrame(units, "g long, dmu long, x1 double, x2 double, y double")).collect()}
+    x, y = np.array([u[2:4] for u in units]), np.array([u[4] for u in units])
+    for o, u in list(enumerate(units))[::10]:
+        a, b = x[:, 0] / y * y[o] / u[2], x[:, 1] / y * y[o] / u[3]
+        i, j = np.flatnonzero(a > b), np.flatnonzero(a < b)
+        ai, bi, aj, bj = a[i][:, None], b[i][:, None], a[j], b[j]
+        pairs = (ai * bj - aj * bi) / (ai - aj + bj - bi)
+        assert full[o].h == pytest.approx(min(np.maximum(a, b).min(), pairs.min(initial=9)), abs=1e-9)
