@@ -163,19 +163,46 @@ def least_scale(a: np.ndarray, b: np.ndarray, e: np.ndarray) -> float:
             high = mid
 
 
-def bcc(dmus: DataFrame, group: str = "g", key: str = "dmu") -> DataFrame:
-    """Input-oriented BCC efficiency (weights of peers add up to one), two inputs and one output.
-
-    A group is one task: groups are profiles of some tens of networks. Inputs are above 0. Time grows with the square of a group for each unit.
+def extreme(x1: np.ndarray, x2: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of peers that no mix of the others serves as well as: with at most their inputs and at least their output."""
+    order = np.lexsort((x2, x1, -y))
+    kept: list[int] = []
+    for k in order.tolist():  # those before have as much output
+        if not kept or not ((x1[kept] <= x1[k]) & (x2[kept] <= x2[k])).any():
+            kept.append(k)
+    left = np.array(kept, dtype=int)
+    for k in kept[::-1]:
+        rest = left[left != k]
+        if (y[rest] >= y[k]).any() and least_scale(x1[rest] / x1[k], x2[rest] / x2[k], y[rest] - y[k]) <= 1:
+            left = rest
+    return np.sort(left)
+
+
+def bcc(dmus: DataFrame, group: str = "g", key: str = "dmu", chunk: int = 2000) -> DataFrame:
+    """Input-oriented BCC efficiency (weights of peers add up to one), two inputs and one output. Inputs are above 0.
+
+    A mix needs no peer that a mix of others replaces, so units are compared with their group's extreme peers only. These
+    come from chunks of a group first, then from what the chunks left; units are compared chunk by chunk.
     """
+    units = _held(dmus.select(group, key, "x1", "x2", "y"))
+    most = units.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    chunks = most // chunk + 1
+    units = units.withColumn("__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+
+    def reduce(g: pd.DataFrame) -> pd.DataFrame:
+        return g.iloc[extreme(*(g[c].to_numpy(float) for c in ("x1", "x2", "y")))]
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        x1, x2, y = (g[c].to_numpy(float) for c in ("x1", "x2", "y"))
-        h = [least_scale(x1 / p, x2 / q, y - r) for p, q, r in zip(x1, x2, y, strict=True)]
+    def each(g: pd.DataFrame, peers: pd.DataFrame) -> pd.DataFrame:
+        x1, x2, y = (peers[c].to_numpy(float) for c in ("x1", "x2", "y"))
+        h = [least_scale(x1 / p, x2 / q, y - r) for p, q, r in zip(g.x1, g.x2, g.y, strict=True)]
         return pd.DataFrame({group: g[group], key: g[key], "h_bcc": np.round(h, 6)})
 
+    peers = units.groupBy(group, "__chunk").applyInPandas(reduce, units.schema)
+    peers = _held(peers.groupBy(group).applyInPandas(reduce, units.schema)).drop("__chunk")
+    peers = peers.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     kinds = {f.name: f.dataType.simpleString() for f in dmus.schema}
-    return dmus.select(group, key, "x1", "x2", "y").groupBy(group).applyInPandas(each, f"{group} {kinds[group]}, {key} {kinds[key]}, h_bcc double")
+    found = units.groupBy(group, "__chunk").cogroup(peers.groupBy(group, "__chunk"))
+    return found.applyInPandas(each, f"{group} {kinds[group]}, {key} {kinds[key]}, h_bcc double")
 
 
 def dominance_flags(nets: DataFrame, group: str, key: str, sets: dict[str, list[str]], tolerance: float = 1e-9) -> DataFrame:

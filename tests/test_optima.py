@@ -139,3 +139,18 @@ def test_slacks_of_a_large_group(spark):
         ai, bi, aj, bj = a[i][:, None], b[i][:, None], a[j], b[j]
         pairs = (ai * bj - aj * bi) / (ai - aj + bj - bi)
         assert full[o].h == pytest.approx(min(np.maximum(a, b).min(), pairs.min(initial=9)), abs=1e-9)
+
+
+def test_bcc_of_a_large_group(spark):
+    """Units of several chunks against all peers of the group; only the extreme ones are compared."""
+    r = np.random.default_rng(5)
+    x1, x2, y = r.integers(1, 40, 1500).astype(float), r.uniform(0.1, 20, 1500), r.integers(20, 900, 1500).astype(float)
+    some = compare.extreme(x1, x2, y)
+    assert len(some) < 100
+    table = spark.createDataFrame([(0, k, float(a), float(b), float(c)) for k, (a, b, c) in enumerate(zip(x1, x2, y))], "g long, dmu long, x1 double, x2 double, y double")
+    got = {u.dmu: u.h_bcc for u in compare.bcc(table, chunk=400).collect()}
+    assert len(got) == 1500
+    for o in range(0, 1500, 25):
+        assert got[o] == pytest.approx(compare.least_scale(x1 / x1[o], x2 / x2[o], y - y[o]), abs=2e-6)
+    same = np.ones(3)
+    assert len(compare.extreme(same, same, same)) == 1
