@@ -73,12 +73,18 @@ def as_string(fingerprint: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), ""), F.lit(""))
 
 
+def _deal(df: DataFrame, ranges: int) -> DataFrame:
+    """Two ranges a partition, where Spark's own number would put more together: tasks grow in number, not in size."""
+    parts = ranges // 2 + 1
+    return df.repartition(parts, "__range") if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     """Add ``__range`` (of doc_id, -1 for nulls) and ``__no`` (place in it by descending doc_id, equal ones by text)."""
     probes = [i / ranges for i in range(1, ranges)]
     edges = sorted({int(e) for e in docs.where("doc_id is not null").approxQuantile("doc_id", probes, 0.5 / ranges)}) if probes else []
     at = range_of(F.col("doc_id"), edges)
-    docs = docs.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at).cast("int"))
+    docs = _deal(docs.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at).cast("int")), ranges)
     inside = Window.partitionBy("__range").orderBy(F.desc_nulls_last("doc_id"), "text")
     return docs.withColumn("__no", F.row_number().over(inside))
 
@@ -97,7 +103,7 @@ def _follow(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*names, *[F.when(F.col("__last"), F.col(f"__out_{c}")).otherwise(F.col(f"__in_{c}")).alias(f"next_{c}") for c in columns])
 
 
-def fingerprint_documents(docs: DataFrame, samples: int = 64, rows_per_range: int = 4000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, samples: int = 64, rows_per_range: int = 4000, chars_per_range: int = 2_000_000) -> DataFrame:
     """Fingerprint each text of docs(doc_id, text) and its edit: the last third gives way to the next text's beginning.
 
     Null texts are empty. Repeated rows each have a row. Returns doc_id, n_chars, edited_sha256, fingerprint,
@@ -105,7 +111,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = 64, rows_per_range: in
     any length is one row, whose words are counted before they are sampled. Null doc_ids stand last, in one range.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = docs.select("doc_id").count() // rows_per_range + 1
+    rows, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    ranges = max(rows // rows_per_range, chars // chars_per_range) + 1
     placed = _follow(in_ranges(docs, ranges), ["text"])
     n = F.length("text").cast("long")
     third = F.floor(n / 3).cast("int")
@@ -113,5 +120,5 @@ def fingerprint_documents(docs: DataFrame, samples: int = 64, rows_per_range: in
     both = placed.select("__range", "__no", "doc_id", n.alias("n_chars"), "text", edited.alias("edited"))
     prints = fingerprints(both, ["__range", "__no"], edited="edited", samples=samples)
     rows = both.select("__range", "__no", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, ["__range", "__no"], "left")
-    near = _follow(keep(rows, "fingerprints"), ["fingerprint"])
+    near = _follow(_deal(keep(rows, "fingerprints"), ranges), ["fingerprint"])
     return near.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("fingerprint")).alias("fingerprint"), as_string(F.col("edited_fingerprint")).alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

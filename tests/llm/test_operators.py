@@ -462,3 +462,11 @@ def test_direct_pieces_with_a_small_cache():
     assert len(enc.direct) <= 40 and len(enc.direct.older) <= 40
     enc.forget()
     assert not enc.direct and not enc.direct.older
+
+
+def test_fingerprint_tasks_grow_in_number(spark):
+    """A task has about two ranges however many there are; long texts make ranges as many rows do."""
+    docs = spark.range(400).selectExpr("id doc_id", "concat('word ', id, ' and ', id % 7) text")
+    assert weighted_sampling.in_ranges(docs, 40).rdd.getNumPartitions() >= 20
+    few = {r["doc_id"]: r for r in rows_of(weighted_sampling.fingerprint_documents(docs))}
+    assert {r["doc_id"]: r for r in rows_of(weighted_sampling.fingerprint_documents(docs, chars_per_range=300))} == few
