@@ -226,3 +226,33 @@ def test_cross_check_counts_every_pair(spark):
     assert service.cross_check(d, s, few=0).first() == want
     home = spark.createDataFrame([(1, -22.5, -43.2)], "f long, flat double, flng double")
     assert tuple(service.cross_check(spark.range(1000).selectExpr("id prefix", "-23 + id / 1000 lat", "-44 + id / 900 lng"), home, few=0).first()) == (1000, 0)
+
+
+@pytest.mark.parametrize("linkage", ["ward", "complete", "average"])
+def test_chains_by_cells(linkage):
+    """Clusters equal the whole-matrix ones however few are left to the matrix; 5,000 rows hold far less than 4 n^2 bytes."""
+    import tracemalloc
+
+    r = np.random.default_rng(12)
+    lat, lng = r.uniform(-23, -22, 250), r.uniform(-44, -42, 250)
+    lat[:9], lng[:9] = lat[9], lng[9]
+    d = ((lat[:, None] - lat) ** 2 + (lng[:, None] - lng) ** 2) if linkage == "ward" else placement.distances(lat, lng, lat, lng)
+    for dense, k in ((1, 4), (9, 10), (60, 25), (1000, 10)):
+        pairs = set(zip(placement.chain(lat, lng, linkage, k, dense), placement.agglomerate(d, linkage, k)))
+        assert len(pairs) == k
+    lat, lng = r.uniform(-23, -22, 5000), r.uniform(-44, -42, 5000)
+    tracemalloc.start()
+    placement.chain(lat, lng, linkage, 10, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+
+
+def test_medians_without_a_matrix(monkeypatch):
+    r = np.random.default_rng(2)
+    lat, lng, w = r.uniform(-23, -22, 200), r.uniform(-44, -43, 200), r.integers(1, 9, 200).astype(float)
+    d = placement.distances(lat, lng, lat[:40], lng[:40])
+    want = placement.p_median(d, w, 5)
+    monkeypatch.setattr(placement, "BLOCK", 1000)
+    assert placement.p_median(placement.Apart(lat, lng, lat[:40], lng[:40]), w, 5) == want
+    assert placement.cover_trajectory(lat, lng, w, lat[:40], lng[:40], 20.0, 3)[0] == placement.max_cover(d, w, 20.0, 3)
