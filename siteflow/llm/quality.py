@@ -7,7 +7,8 @@ from labelled rows: it rejects at most ``clean_loss`` of the rows labelled good.
 Each tree's sample is mostly rows labelled good, with a few labelled bad among them, so that the bad are rare enough
 to be isolated; rates are drawn in proportion to how much labelled junk they tell apart.
 
-The forest is fitted on at most ``fit_rows`` labelled rows, taken by a hash of doc_id; all documents are scored.
+The forest is fitted on all labelled rows: each tree draws its sample from all of them, and rates' ranges, the junk that
+they tell and the threshold are exact over all. All documents are scored.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import others, tick
+from .common import drop, keep, others, tick
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -93,24 +94,14 @@ def _expected(n: float) -> float:
     return 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
 
-def fit(x: np.ndarray, good: np.ndarray, trees: int = 200, sample: int = 256, clean_loss: float = 0.002, contamination: float = 0.015, seed: int = 7) -> Forest:
-    """Grow trees on the rows and set the threshold from those labelled good."""
+def grow_trees(samples: list[np.ndarray], weight: np.ndarray, sample: int, seed: int = 7) -> Forest:
+    """A tree from each sample of about so many rows; a rate is drawn in proportion to its weight. The threshold is 1."""
     rng = np.random.default_rng(seed)
-    sample = min(sample, len(x))
     deep = int(np.ceil(np.log2(max(2, sample)))) + 2
     size = 2 ** (deep + 1) - 1
-    clean, junk = np.flatnonzero(good), np.flatnonzero(~good)
-    if len(clean) and len(junk):
-        # a rate is drawn as often as it tells labelled junk: the share of junk outside nearly all good rows' range
-        low, high = np.quantile(x[clean], [clean_loss / 2, 1 - clean_loss / 2], axis=0)
-        weight = ((x[junk] < low) | (x[junk] > high)).mean(0) + 0.01
-    else:
-        clean, junk, weight = np.arange(len(x)), junk[:0], np.ones(x.shape[1])
-    rare = min(len(junk), int(np.ceil(sample * contamination)))  # what is to be isolated must be rare in a tree's sample
-    usual = min(len(clean), sample - rare)
-    rate = np.zeros((trees, size), dtype=np.int64)
-    point = np.full((trees, size), np.nan)
-    length = np.zeros((trees, size))
+    rate = np.zeros((len(samples), size), dtype=np.int64)
+    point = np.full((len(samples), size), np.nan)
+    length = np.zeros((len(samples), size))
 
     def grow(t: int, node: int, depth: int, rows: np.ndarray) -> None:
         low, high = rows.min(0), rows.max(0)
@@ -126,16 +117,69 @@ def fit(x: np.ndarray, good: np.ndarray, trees: int = 200, sample: int = 256, cl
         grow(t, 2 * node + 1, depth + 1, rows[below])
         grow(t, 2 * node + 2, depth + 1, rows[~below])
 
-    for t in range(trees):
-        grow(t, 0, 0, x[np.concatenate([rng.choice(clean, usual, replace=False), rng.choice(junk, rare, replace=False)])])
-    forest = Forest(rate, point, length, max(_expected(sample), 1e-9), 1.0)
-    scores = forest.score(x)
-    if not good.any() or good.all():
-        return forest
-    ranked = np.sort(scores[good])
-    threshold = float(ranked[min(len(ranked) - 1, int(np.ceil(len(ranked) * (1 - clean_loss))))])
+    for t, rows in enumerate(samples):
+        grow(t, 0, 0, rows)
+    return Forest(rate, point, length, max(_expected(sample), 1e-9), 1.0)
+
+
+def _least(rows: DataFrame, value: Column, many: int) -> np.ndarray:
+    """The least values, so many of them, in order."""
+    return rows.select(value.cast("double").alias("v")).orderBy("v").limit(many).toPandas().v.to_numpy()
+
+
+def _low_quantile(rows: DataFrame, value: Column, n: int, q: float) -> float:
+    """The exact quantile of n rows, between neighbours in proportion; what lies below it passes through the driver."""
+    at = q * (n - 1)
+    least = _least(rows, value, int(at) + 2)
+    return float(least[int(at)] + (least[min(int(at) + 1, n - 1)] - least[int(at)]) * (at - int(at)))
+
+
+def _samples(rows: DataFrame, n: int, trees: int, many: int) -> list[np.ndarray]:
+    """For each tree many of the n rows(h, rates): those whose hash with the tree's number is least, so all are as likely."""
+    share = (many + 8 * many**0.5 + 16) / max(1, n)
+    while True:
+        bound = F.lit(min(2**63 - 1, int(-(2**63) + min(1.0, share) * 2**64)))
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("h", t) <= bound)
+        got = rows.select("rates", "h", F.explode(drawn).alias("t")).select("t", F.xxhash64("h", "t").alias("u"), "rates").orderBy("t", "u", "rates").toPandas() if many else None
+        out = [np.array(g.rates.tolist()[:many], dtype=float) for _, g in got.groupby("t")] if many else [np.zeros((0, len(RATES)))] * trees
+        if share >= 1 or (len(out) == trees and min(map(len, out)) == many):
+            return out
+        share *= 2
+
+
+def fit(rows: DataFrame, trees: int = 200, sample: int = 256, clean_loss: float = 0.002, contamination: float = 0.015, seed: int = 7) -> Forest | None:
+    """Grow trees on rows(h, rates, good) and set the threshold from those labelled good; None without rows. Counts, quantiles
+    and the threshold are those of all rows; a tree's sample is the method's own and drawn from all of them."""
+    counts = {r.good: r.n for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    if not n:
+        return None
+    sample = min(sample, n)
+    if len(counts) < 2:
+        return grow_trees(_samples(rows, n, trees, sample), np.ones(len(RATES)), sample, seed)
+    clean, junk = rows.where("good"), rows.where("not good")
+    # a rate is drawn as often as it tells labelled junk: the share of junk outside nearly all good rows' range
+    each = [F.get("rates", F.lit(k)) for k in range(len(RATES))]
+    low = [_low_quantile(clean, r, counts[True], clean_loss / 2) for r in each]
+    high = [-_low_quantile(clean, -r, counts[True], clean_loss / 2) for r in each]
+    told = junk.agg(*[F.avg(((r < a) | (r > b)).cast("double")) for r, a, b in zip(each, low, high, strict=True)]).first()
+    rare = min(counts[False], int(np.ceil(sample * contamination)))  # what is to be isolated must be rare in a tree's sample
+    usual = min(counts[True], sample - rare)
+    drawn = zip(_samples(clean, counts[True], trees, usual), _samples(junk, counts[False], trees, rare), strict=True)
+    forest = grow_trees([np.concatenate(x) for x in drawn], np.array(told) + 0.01, sample, seed)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), dtype=float).reshape(-1, len(RATES))
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(x)), b.column(1)], names=["score", "good"])
+
+    scored = keep(rows.select("rates", "good").mapInArrow(score, "score double, good boolean"), "scores")
+    place = min(counts[True] - 1, int(np.ceil(counts[True] * (1 - clean_loss))))
+    threshold = -float(_least(scored.where("good"), -F.col("score"), counts[True] - place)[-1])
+    bad = _low_quantile(scored.where("not good"), F.col("score"), counts[False], 0.01)
+    drop(scored)
     # midway, if nearly all labelled junk scores above that
-    return forest._replace(threshold=max(threshold, (threshold + float(np.quantile(scores[~good], 0.01))) / 2))
+    return forest._replace(threshold=max(threshold, (threshold + bad) / 2))
 
 
 SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("rates", T.ArrayType(T.DoubleType())), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
@@ -168,15 +212,16 @@ def score_documents(docs: DataFrame, forest: Forest | None = None, text: str = "
     return docs.mapInArrow(run, schema)
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, **more: float) -> Forest | None:
-    """A forest from at most fit_rows labelled documents; None where there are no labels."""
-    some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    # fit_rows short rows: a proven bound
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = score_documents(chosen).where("not base_failed").select("doc_id", "rates", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "rates").limit(fit_rows).toPandas()
-    if not len(rows):
-        return None
-    return fit(np.array(rows.rates.tolist(), dtype=float), rows.quality.to_numpy() == 1, **more)
+def fit_forest(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000, **more: float) -> Forest | None:
+    """A forest from all labelled documents that pass the base rules; None where there are none."""
+    some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    few = some.count() <= broadcast_rows  # two numbers a row
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some) if few else some, "doc_id")
+    passed = score_documents(chosen).where("not base_failed").select(F.xxhash64("doc_id", "rates").alias("h"), "rates", (F.col("quality") == 1).alias("good"))
+    rows = keep(passed, "rates")
+    forest = fit(rows, **more)
+    drop(rows)
+    return forest
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **more: float) -> DataFrame:

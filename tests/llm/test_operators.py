@@ -470,3 +470,25 @@ def test_fingerprint_tasks_grow_in_number(spark):
     assert weighted_sampling.in_ranges(docs, 40).rdd.getNumPartitions() >= 20
     few = {r["doc_id"]: r for r in rows_of(weighted_sampling.fingerprint_documents(docs))}
     assert {r["doc_id"]: r for r in rows_of(weighted_sampling.fingerprint_documents(docs, chars_per_range=300))} == few
+
+
+def test_forest_takes_every_labelled_row(spark):
+    """Quantiles, threshold and samples against NumPy over all of 21,000 rows, a bound that once held."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    x = r.uniform(0, 1, (21_000, len(quality.RATES)))
+    x[20_500:, 1] += r.uniform(0, 9, 500)
+    rows = spark.createDataFrame([(k, row.tolist(), k < 20_500) for k, row in enumerate(x)], "h long, rates array<double>, good boolean")
+    for q in (0.001, 0.0137):
+        assert quality._low_quantile(rows.where("good"), F.get("rates", F.lit(2)), 20_500, q) == pytest.approx(np.quantile(x[:20_500, 2], q), abs=1e-15)
+    samples = quality._samples(rows.where("good"), 20_500, 30, 100)
+    assert [len(s) for s in samples] == [100] * 30
+    place = {row.tobytes(): k for k, row in enumerate(x)}
+    drawn = {place[row.tobytes()] for s in samples for row in s}
+    assert len(drawn) > 2500 and min(drawn) < 200 and max(drawn) > 20_300
+    forest = quality.fit(rows, trees=20)
+    score = forest.score(x)
+    good = np.sort(score[:20_500])
+    at = good[int(np.ceil(20_500 * 0.998))]
+    assert forest.threshold == pytest.approx(max(at, (at + np.quantile(score[20_500:], 0.01)) / 2), abs=1e-15)
