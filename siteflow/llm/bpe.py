@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, tick
+from .common import others, settle, tick
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts with any other character, or with a special token's opening, are given to the library whole.
@@ -153,6 +153,7 @@ class Encoder:
         self.ids, self.older, self.places = {}, {}, {}
         if self.direct is not None:
             self.direct.forget()
+        settle()
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""

@@ -50,6 +50,18 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle() -> None:
+    """Give memory that this worker no longer uses back to the system: Spark keeps workers for other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def tick(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

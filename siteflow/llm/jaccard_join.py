@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _slices
-from .common import drop, keep
+from .common import drop, keep, settle
 
 PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 A, B, C = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -233,6 +233,7 @@ def document_sets(docs: DataFrame, rule: Rule, n: int = 5, doc: str = "doc_id",
                 short = [bool(x) and rows_of(value[a:b], rule, frozenset())[3] for x, a, b in zip(lacks.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 cols = [pa.array(sizes), pa.array(keys, pa.int64()), pa.array(own, mask=~lacks), pa.array(short, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_shingles", "node", "deletions", "short"])
+        settle()
 
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, deletions long, short boolean")
 
@@ -278,6 +279,7 @@ def signatures(docs: DataFrame, rule: Rule, deletions: frozenset[int], n: int =
                 if parts:
                     sig, node, meta = (np.concatenate(x) for x in zip(*parts, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(meta)], names=["sig", "node", "meta"])
+        settle()
 
     return docs.select("text").mapInArrow(run, "sig long, node long, meta long")
 
@@ -298,6 +300,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, n: int = 5, broadcast_rows: in
                         seen.add(node)
                         rows.append((node, h.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "hashes"])
+        settle()
 
     few = wanted.count() <= broadcast_rows  # two longs a row
     wanted = wanted.withColumnRenamed("doc_id", "__doc")
@@ -319,6 +322,7 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 ok.append(den * both >= num * (len(held) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        settle()
 
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     both = second.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
@@ -369,6 +373,7 @@ def differences(ends: DataFrame, sets: DataFrame) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(d) for d in found])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), type=pa.list_(pa.field("element", pa.int64())))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), listed], names=["star", "star_size", "node", "size", "d"])
+        settle()
 
     both = ends.join(sets.withColumnRenamed("hashes", "x"), "node").join(sets.select(F.col("node").alias("star"), F.col("hashes").alias("y")), "star")
     return both.select("star", "star_size", "node", "size", "x", "y").mapInArrow(run, "star long, star_size long, node long, size long, d array<long>")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import drop, keep, others, tick
+from .common import drop, keep, others, settle, tick
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -208,6 +208,7 @@ def score_documents(docs: DataFrame, forest: Forest | None = None, text: str = "
                 ends = pa.array(np.arange(len(rates) + 1, dtype=np.int32) * len(RATES))
                 listed = pa.ListArray.from_arrays(ends, pa.array(rates.reshape(-1)), type=pa.list_(pa.field("element", pa.float64())))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(counts[:, k]) for k in range(len(COUNTS))), pa.array(failed), listed, pa.array(score), pa.array(kept)], names=schema.names)
+        settle()
 
     return docs.mapInArrow(run, schema)
 

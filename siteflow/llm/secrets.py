@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .common import others, tick
+from .common import others, settle, tick
 
 KINDS = ("assign", "access", "hex", "token")
 KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -118,6 +118,7 @@ def scan_documents(docs: DataFrame, vocabulary_file: str, text: str = "text", sp
                 if redacted:
                     cols.append(pa.array([redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        settle()
 
     return docs.mapInArrow(run, schema)
 

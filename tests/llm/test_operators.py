@@ -492,3 +492,16 @@ def test_forest_takes_every_labelled_row(spark):
     good = np.sort(score[:20_500])
     at = good[int(np.ceil(20_500 * 0.998))]
     assert forest.threshold == pytest.approx(max(at, (at + np.quantile(score[20_500:], 0.01)) / 2), abs=1e-15)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Freed memory goes back to the system when a task ends; Spark keeps its worker."""
+    from siteflow.llm.common import settle
+
+    settle()
+    calls = []
+    monkeypatch.setattr(bpe, "settle", lambda: calls.append(1))
+    enc = bpe.Encoder(tokenizer_file("word_bpe_49k.json"))
+    enc.encode(["some words"])
+    enc.forget()
+    assert calls and not enc.ids
