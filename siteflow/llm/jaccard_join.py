@@ -13,8 +13,9 @@ shingle; bands with such a set index deletions too.
 
 Equal sets are one node from the start. Within a bucket all nodes are first compared with one of them, its star; after
 links are merged to components, only pairs across components remain. A large bucket is then narrowed: with d(x) the
-shingles in which x and the star differ, x and y differ in ``|d(x)| + |d(y)| - 2 |d(x) & d(y)|``, and only shingles of
-d(x) that a node of another component has in its d too can be in both. So most nodes of a group of near copies drop
+shingles in which x and the star differ, x and y differ in ``|d(x)| + |d(y)| - 2 |d(x) & d(y)|``. What both lack of the
+star is bounded by counts and 64 bits; of what both have beyond the star, only shingles that a node of another component
+has too can be in both, so that only these are rows. So most nodes of a group of near copies drop
 out by counts, without being paired; the pairs left are compared. Every linked pair is thus compared, or within one
 component, or shown by counts to be none. Sets are held as 64-bit hashes.
 """
@@ -36,6 +37,7 @@ from .common import drop, keep, settle
 PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 A, B, C = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 WHOLE, OWN, FORCED = 0, 1, 2  # roles of a row: index only, index and may ask, asks only
+BOUND = ("surplus", "missing", "lacks", "reach", "bits")  # what narrow() adds for a node
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -361,31 +363,37 @@ def merge(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def differences(ends: DataFrame, sets: DataFrame) -> DataFrame:
-    """ends(star, star_size, node, size) with d: the shingles in which node and star differ."""
+    """ends(star, star_size, node, size) with the shingles of the star that the node lacks, as a count and their places among 64, and the extra ones that the star lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, held, found = None, None, []
+            last, held, missing, lacks, extra = None, None, [], [], []
             for c, x, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 if c != last:
                     last, held = c, np.frombuffer(y.as_buffer(), np.uint64)
-                found.append(np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), held, assume_unique=True).view(np.int64))
-            at = np.concatenate([[0], np.cumsum([len(d) for d in found])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), type=pa.list_(pa.field("element", pa.int64())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), listed], names=["star", "star_size", "node", "size", "d"])
+                mine = np.frombuffer(x.as_buffer(), np.uint64)
+                none = np.setdiff1d(held, mine, assume_unique=True)
+                missing.append(len(none))
+                lacks.append(np.bitwise_or.reduce(np.uint64(1) << (none & np.uint64(63)), initial=np.uint64(0)))
+                extra.append(np.setdiff1d(mine, held, assume_unique=True).view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(e) for e in extra])]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*extra, np.zeros(0, np.int64)])), type=pa.list_(pa.field("element", pa.int64())))
+            counts = [pa.array(missing, pa.int64()), pa.array(np.array(lacks, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *counts, listed], names=["star", "star_size", "node", "size", "missing", "lacks", "extra"])
         settle()
 
     both = ends.join(sets.withColumnRenamed("hashes", "x"), "node").join(sets.select(F.col("node").alias("star"), F.col("hashes").alias("y")), "star")
-    return both.select("star", "star_size", "node", "size", "x", "y").mapInArrow(run, "star long, star_size long, node long, size long, d array<long>")
+    return both.select("star", "star_size", "node", "size", "x", "y").mapInArrow(run, "star long, star_size long, node long, size long, missing long, lacks long, extra array<long>")
 
 
 def narrow(left: DataFrame, label: DataFrame, sets: DataFrame, rule: Rule, large: int, bounds: list[str]) -> tuple[DataFrame, DataFrame]:
     """Compare all nodes of buckets of over ``large`` nodes with the star, follow these links, and drop what can have no others.
 
     left(sig, node, size, lone, asks, label, star) is returned without label and star, with one more of ``bounds``: a
-    struct of surplus, reach and bits (0 in small buckets). surplus is (den + num) * |d(x)| - (den - num) * |x|, reach
-    the number of shingles of d(x) that nodes of other components of the star's buckets have in their d too, bits their
-    places among 64. A linked pair has surplus(x) + surplus(y) <= 2 * (den + num) * |d(x) & d(y)|.
+    struct of BOUND's fields (0 in small buckets). surplus is (den + num) * |d(x)| - (den - num) * |x|; missing is how many
+    shingles of the star x lacks, lacks their places among 64; reach is how many extra shingles of x nodes of other
+    components of the star's buckets have too, bits their places. A linked pair has
+    surplus(x) + surplus(y) <= 2 * (den + num) * |d(x) & d(y)|.
     """
     far, near = rule.den + rule.num, rule.den - rule.num
     left = left.withColumn("n", F.count("*").over(Window.partitionBy("sig")))
@@ -395,17 +403,19 @@ def narrow(left: DataFrame, label: DataFrame, sets: DataFrame, rule: Rule, large
     left = left.join(common, "sig", "left").select("sig", "node", "size", "lone", "asks", *bounds[:-1], F.col("common.node").alias("star"), F.col("common.size").alias("star_size"))
     left = keep(left, "starred")
     apart = keep(differences(left.where("star is not null").select("star", "star_size", "node", "size").distinct(), sets), "differences")
-    linked = apart.where(far * F.size("d") <= near * (F.col("size") + F.col("star_size")))
+    differ = F.col("missing") + F.size("extra")
+    linked = apart.where(far * differ <= near * (F.col("size") + F.col("star_size")))
     label = merge(label, linked.where("star != node").select(F.col("star").alias("a"), F.col("node").alias("b")))
-    each = apart.join(label, "node").select("star", "node", "label", F.explode("d").alias("e"))
+    each = apart.join(label, "node").select("star", "node", "label", F.explode("extra").alias("e"))
     shared = each.groupBy("star", "e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("star", "e")
     reach = each.select("star", "node", "e").join(shared, ["star", "e"], "left_semi").groupBy("star", "node").agg(F.count("*").alias("reach"), F.bit_or(F.expr("shiftleft(1L, cast(e & 63 as int))")).alias("bits"))
-    bound = apart.select("star", "node", (far * F.size("d") - near * F.col("size")).alias("surplus")).join(reach, ["star", "node"], "left").fillna(0, ["reach", "bits"]).select("star", "node", "surplus", "reach", "bits")
+    bound = apart.select("star", "node", "missing", "lacks", (far * differ - near * F.col("size")).alias("surplus")).join(reach, ["star", "node"], "left").fillna(0, ["reach", "bits"]).select("star", "node", *BOUND)
     bound = keep(bound, "bounds")
-    most = bound.groupBy("star").agg(F.min("surplus").alias("least"), F.max(2 * far * F.col("reach") - F.col("surplus")).alias("most"))
-    able = bound.join(most, "star").where((2 * far * F.col("reach") - F.col("surplus") >= F.col("least")) & (F.col("surplus") <= F.col("most")))
-    able = able.select("star", "node", F.struct("surplus", "reach", "bits").alias(bounds[-1]))
-    small = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("surplus", "reach", "bits")])
+    gain = 2 * far * (F.col("missing") + F.col("reach")) - F.col("surplus")
+    most = bound.groupBy("star").agg(F.min("surplus").alias("least"), F.max(gain).alias("most"))
+    able = bound.join(most, "star").where((gain >= F.col("least")) & (F.col("surplus") <= F.col("most")))
+    able = able.select("star", "node", F.struct(*BOUND).alias(bounds[-1]))
+    small = F.struct(*[F.lit(0).cast("long").alias(c) for c in BOUND])
     out = left.join(able, ["star", "node"], "left").withColumn(bounds[-1], F.when(F.col("star").isNull(), small).otherwise(F.col(bounds[-1]))).where(F.col(bounds[-1]).isNotNull())
     out = keep(out.select("sig", "node", "size", "lone", "asks", *bounds), "narrowed")
     drop(left, apart, bound)
@@ -490,7 +500,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, n: int = 5, rou
             met = (F.col("label1") != F.col("label2")) & (F.col("size2") <= F.col("size1")) & alike(F.col("size1"), F.col("size2"))
             met = met & ((den + num) * F.greatest("lone1", "lone2") <= (den - num) * (F.col("size1") + F.col("size2")))
             for x in bounds:
-                met = met & (F.col(f"{x}1.surplus") + F.col(f"{x}2.surplus") <= 2 * (den + num) * F.least(_common(x, "1", "2"), _common(x, "2", "1")))
+                met = met & (F.col(f"{x}1.surplus") + F.col(f"{x}2.surplus") <= 2 * (den + num) * _common(x))
             met = met & (F.coalesce(F.array_min(F.array_intersect("low1", "low2")), F.col("sig")) >= F.col("sig"))
             crossed = one.join(two, "sig").where(met)
             pairs = crossed.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
@@ -520,10 +530,14 @@ def starred(left: DataFrame, label: DataFrame, step: int) -> DataFrame:
     return keep(left.join(mixed.select("sig", "star"), "sig"), "open")
 
 
-def _common(bound: str, one: str, two: str) -> Column:
-    """At most so many shingles of one's reach are in the other's: places that the other lacks hold one each at least."""
-    lacks = F.col(f"{bound}{one}.bits").bitwiseAND(F.bitwise_not(F.col(f"{bound}{two}.bits")))
-    return F.col(f"{bound}{one}.reach") - F.bit_count(lacks)
+def _common(bound: str) -> Column:
+    """At most so many shingles are in the d of both: of one's, places that the other lacks hold one each at least."""
+
+    def most(count: str, bits: str) -> Column:
+        side = lambda one, two: F.col(f"{bound}{one}.{count}") - F.bit_count(F.col(f"{bound}{one}.{bits}").bitwiseAND(F.bitwise_not(F.col(f"{bound}{two}.{bits}"))))
+        return F.least(side("1", "2"), side("2", "1"))
+
+    return most("missing", "lacks") + most("reach", "bits")
 
 
 def _pairs_left(left: DataFrame, large: int = 0) -> int:

@@ -132,6 +132,41 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert narrowed and sum(compared) < 10 * len(rows)
 
 
+def test_narrowing_makes_rows_of_shared_extra_shingles_only(spark, monkeypatch):
+    """What nodes lack of the star is counted, not made rows, and the bound of each pair of nodes holds."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    sets = {k: np.array(sorted(r.sample(range(1 << 40), 30)), np.uint64) for k in range(1, 25)}
+    passage = np.array(r.sample(range(1 << 40, 1 << 41), 40), np.uint64)
+    for k, x in sets.items():  # most have the passage and a rest of their own, some share part of this with another
+        sets[k] = np.unique(np.concatenate([passage[k % 3 :], x, sets[k - 1][:5] if k % 5 == 0 else x[:0]]))
+    sets[22] = np.unique(np.concatenate([sets[21][3:], sets[2][:2]]))  # linked, and not with the star
+    table = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "node long, hashes binary")
+    label = spark.createDataFrame([(k, k) for k in sets], "node long, label long")
+    left = spark.createDataFrame([(7, k, len(x), 0, True, k, (1, 1, 24, len(sets[24]), 24)) for k, x in sets.items()], "sig long, node long, size long, lone long, asks boolean, label long, star struct<fame:long,h:long,node:long,size:long,label:long>")
+    made = []
+    differences = jaccard_join.differences
+
+    def watched(ends, sets_):
+        out = differences(ends, sets_)
+        listed = [c for c, kind in out.dtypes if kind.startswith("array")]
+        made.extend(out.select("node", F.explode(listed[0]).alias("e")).collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "differences", watched)
+    out, _ = jaccard_join.narrow(left, label, table, jaccard_join.Rule(), 16, ["b"])
+    star = set(sets[24].tolist())
+    assert {(x.node, x.e) for x in made} == {(k, e) for k, x in sets.items() for e in set(x.tolist()) - star}
+    kept = out.selectExpr("node", "b.*").collect()
+    assert {x.node for x in kept} >= {21, 22}
+    pairs = out.select("node", F.col("b").alias("b1")).crossJoin(out.select(F.col("node").alias("other"), F.col("b").alias("b2"))).where("node < other")
+    for x in pairs.select("node", "other", jaccard_join._common("b").alias("most"), F.expr("b1.surplus + b2.surplus").alias("surplus")).collect():
+        assert (x.node, x.other) != (21, 22) or x.surplus <= 18 * x.most
+        d = [set(sets[k].tolist()) ^ star for k in (x.node, x.other)]
+        assert len(d[0] & d[1]) <= x.most
+
+
 def test_shingles_of_many_texts_are_those_of_each():
     texts = [None, "", " \t", "a", "A b", "x" * 70_000, "é É Ä a\x0bb\x1fc d e", words(40, 1), words(40, 1).upper(), "\n" + words(7, 2) + "  ", words(5, 2), "a"]
     for chosen in (texts, texts[3:], texts[:3], []):
