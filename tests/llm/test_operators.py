@@ -499,6 +499,31 @@ def test_direct_pieces_with_a_small_cache():
     assert not enc.direct and not enc.direct.older
 
 
+def test_pieces_of_many_texts_are_looked_up_once():
+    """A piece is asked for once however often texts have it; texts' ends are boundaries, and pieces begin where pre-tokens do."""
+    enc = bpe.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    asked = []
+    known = enc.direct
+
+    class Watched:
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return known[piece]
+
+    enc.direct = Watched()
+    texts = ["The cat, the dog.\n\nThe cat " * 50, "", "  the\n ", " the", "é" * 3, "dog.", "…. ×. a.b 1.2", "'s.'ll it's", "caf\u00e9\n \tcafé", "日本 the cat"]
+    for x, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, "<i4").tolist() == enc.t.encode(x, add_special_tokens=False).ids, x
+    assert len(asked) == len(set(asked)) < 40
+    r = random.Random(8)
+    texts = ["".join(r.choice("aZéŁµ0 .,;'×…\n\t’  ") for _ in range(r.randint(1, 40))) for _ in range(800)]
+    starts = np.cumsum([0, *(len(x.encode()) for x in texts)])
+    begin = set(bpe.boundaries(np.frombuffer("".join(texts).encode(), np.uint8), starts[:-1]).tolist())
+    assert begin >= set(starts[:-1].tolist())
+    made = {int(s) + len(x[:a].encode()) for s, x in zip(starts, texts) for _, (a, _) in enc.t.pre_tokenizer.pre_tokenize_str(x)}
+    assert begin <= made
+
+
 def test_fingerprint_tasks_grow_in_number(spark):
     """A task has about two ranges however many there are; long texts make ranges as many rows do."""
     docs = spark.range(400).selectExpr("id doc_id", "concat('word ', id, ' and ', id % 7) text")
