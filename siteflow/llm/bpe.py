@@ -10,7 +10,8 @@ Why this is exact: BPE's result is the sequence whose neighbouring tokens all st
 as pairs. Every neighbouring pair of the joined sequence stands in one of the three encodings.
 
 The library is asked once for each distinct piece between boundaries that its pre-tokenizer always makes
-(``Encoder``), which is where nearly all of its time goes. For a byte-level one these are found by columns.
+(``Encoder``), which is where nearly all of its time goes. For a byte-level one, and for one that lowers words and drops
+blanks, these are found by columns.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 
 from .common import others, settle, tick
 
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Without U+0130: in lower case it ends with a combining dot, which a pre-tokenizer joins with signs that follow.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: Texts with any other character, or with a special token's opening, are given to the library whole.
 UNUSUAL = re.compile(rf"<\||[^\n\r\t\x20-\x7e{LETTERS}¡-¿×÷–—‘’“”…€]")
 #: Pieces whose ends are boundaries of the pre-tokenizer. Blanks belong to the next piece, or are dropped.
@@ -37,6 +39,9 @@ BLANKS_COUNT = re.compile(rf" ?[{LETTERS}]+(?=[ \n.,;:!?|*#$%&]|$)|[.,;:!?|*#$%&
 BLANKS_DROP = re.compile(rf"[{LETTERS}]+(?=[ \n.,;:!?|*#$%&]|$)|[.,;:!?|*#$%&]+(?=[ \n]|$)|[^\s]+")
 #: ASCII that is not unusual; white space, signs and letters among it.
 PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F)])
+#: What a tokenizer that lowers words and drops blanks says of itself, if its words can be given to its model one by one.
+FOLDS = 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])'
+DROPS = (r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), """ "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])")
 WHITE, SIGN, LETTER = (np.isin(np.arange(256), list(x)) for x in (b" \n\r\t", b".,;:!?|*#$%&", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 
 
@@ -46,11 +51,11 @@ def unusual(text: str) -> bool:
     return UNUSUAL.search(text) is not None
 
 
-def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def boundaries(data: np.ndarray, starts: np.ndarray, drop: bool = False) -> np.ndarray:
     """Where pieces of usual texts begin in their UTF-8, one text after another: boundaries that a byte-level pre-tokenizer always makes.
 
     White space is apart from what stands before it, and its last character, where something follows, from the rest of it; a blank
-    then belongs to what follows. Signs are apart from a letter before them.
+    then belongs to what follows. Signs are apart from a letter before them. With ``drop`` white space is no piece's.
     """
     white, letter = WHITE[data], LETTER[data]
     if len(data) and data.max() > 0x7F:  # letters of two bytes: U+00C0 to U+024F but for two signs
@@ -59,6 +64,12 @@ def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     at = np.zeros(len(data) + 1, dtype=bool)
     at[1:-1] = white[1:] & ~white[:-1]
     at[1:-1] |= SIGN[data[1:]] & letter[:-1]
+    if drop:
+        at[1:-1] |= white[:-1]
+        at[starts] = True
+        at[:-1] &= ~white
+        at[-1] = False
+        return np.flatnonzero(at)
     at[1:-1] |= ~white[1:] & white[:-1] & (data[:-1] != 0x20)
     ends = starts[(starts > 0) & (starts < len(data))]
     last = white[:-1] & ~white[1:]
@@ -79,8 +90,9 @@ def byte_alphabet() -> dict[int, str]:
 class Pieces(dict):
     """The ids of pieces, encoded when first asked for. A full cache becomes the older one, which is asked before encoding."""
 
-    def __init__(self, tokenizer, cached: int) -> None:  # noqa: ANN001
+    def __init__(self, tokenizer, cached: int, folds: bool = False) -> None:  # noqa: ANN001
         super().__init__()
+        self.folds = folds
         self.whole, self.model, self.cached, self.older = tokenizer.encode, tokenizer.model.tokenize, cached, {}
         self.alphabet = byte_alphabet()
 
@@ -92,7 +104,8 @@ class Pieces(dict):
         if known is None:
             if (piece[1:] if piece[0] == " " else piece).isalpha():
                 # one word of the pre-tokenizer: the model takes it in its own alphabet, where ASCII letters stay and a blank is U+0120
-                own = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+                word = piece.lower() if self.folds else piece
+                own = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
                 known = array("i", [t.id for t in self.model(own)]).tobytes()
             else:
                 known = array("i", self.whole(piece, add_special_tokens=False).ids).tobytes()
@@ -107,7 +120,7 @@ class Pieces(dict):
 class Encoder:
     """A tokenizers file with a bounded cache of encoded pieces; one in each Python worker."""
 
-    def __init__(self, path: str, cached: int = 400_000) -> None:
+    def __init__(self, path: str, cached: int | None = None) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,6 +131,9 @@ class Encoder:
         self.t.no_padding()
         kind = type(self.t.pre_tokenizer).__name__
         self.pieces = BLANKS_COUNT if kind == "ByteLevel" else BLANKS_DROP
+        self.drop = str(self.t.normalizer) == FOLDS and str(self.t.pre_tokenizer) == DROPS
+        # cut by columns, pieces cost so little that a small cache takes no longer than a large one did before
+        cached = cached or (100_000 if self.drop else 400_000)
         self.cached = cached
         # pieces of letters are learnt from texts of many, one after another, with a token between that none of them has
         self.between = "\n" if kind == "ByteLevel" else " | "
@@ -125,7 +141,7 @@ class Encoder:
         self.mark = mark[0] if len(mark) == 1 else None
         # then the model can be asked for a word by itself
         plain = kind == "ByteLevel" and self.t.normalizer is None and not self.t.pre_tokenizer.add_prefix_space
-        self.direct = Pieces(self.t, cached) if plain else None
+        self.direct = Pieces(self.t, cached, self.drop) if plain or self.drop else None
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.places: dict[str, bytes] = {}
@@ -193,8 +209,12 @@ class Encoder:
         raw = [x.encode() for x in texts]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         joined = b"".join(raw)
-        begin = boundaries(np.frombuffer(joined, np.uint8), starts[:-1])
+        data = np.frombuffer(joined, np.uint8)
+        begin = boundaries(data, starts[:-1], self.drop)
         of = np.searchsorted(begin, starts)  # each text's first piece
+        if self.drop:
+            white = WHITE[data]
+            joined, begin = data[~white].tobytes(), begin - np.cumsum(white)[begin]
         coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(joined))), pa.py_buffer(joined)).dictionary_encode()
         code = coded.indices.to_numpy()
         table = list(map(self.direct.__getitem__, coded.dictionary.to_pylist()))
@@ -332,6 +352,8 @@ def _slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000) -> Itera
 
 
 IDS, DECODED = "ids", "decoded"
+#: Characters that a worker encodes at once, so also those of a batch that it gives back.
+CHARS = 1_000_000
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = IDS, decoded: str | None = None, long_chars: int = 32_768, leaf_chars: int = 16_384) -> DataFrame:
@@ -357,7 +379,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for batch in _slices(whole, where):
+            for batch in _slices(whole, where, CHARS):
                 parts = enc.encode([x or "" for x in batch.column(where).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + finish(enc, parts), names=schema.names)
         enc.forget()
@@ -382,9 +404,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for batch in _slices(whole, at):
+            for batch in _slices(whole, at, CHARS):
                 found = [enc.spans(x) for x in batch.column(at).to_pylist()]
-                cols = [pa.array([getattr(s, k).tobytes() for s in found], pa.binary()) for k in ("ids", "start", "end")]
+                cols = [pa.array([getattr(s, k).astype("<i4").tobytes() for s in found], pa.binary()) for k in ("ids", "start", "end")]
                 yield pa.RecordBatch.from_arrays(list(batch.columns) + cols, names=coded.names)
         enc.forget()
 
@@ -395,7 +417,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
         table = table.sort_by(no)
         pieces = table.column("piece").to_pylist()
         bounds = [0, *np.cumsum([len(p) for p in pieces]).tolist()]
-        spans = [Spans(np.frombuffer(i, "<i4"), np.frombuffer(s, "<i8"), np.frombuffer(e, "<i8")).shift(b) for i, s, e, b in zip(*(table.column(k).to_pylist() for k in ("ids", "start", "end")), bounds[:-1], strict=True)]
+        spans = [Spans(np.frombuffer(i, "<i4"), np.frombuffer(s, "<i4").astype("<i8"), np.frombuffer(e, "<i4").astype("<i8")).shift(b) for i, s, e, b in zip(*(table.column(k).to_pylist() for k in ("ids", "start", "end")), bounds[:-1], strict=True)]
         whole = "".join(pieces)
         ids_ = join_tree(enc, whole, spans, bounds).ids.astype("<i4").tobytes()
         return pa.Table.from_arrays([table.column("rest").slice(0, 1), pa.array([whole], pa.string()), *finish(enc, [ids_])], names=out_key.names)

@@ -46,6 +46,28 @@ def test_bpe_equals_the_library(docs):
         assert "size" in r
 
 
+def test_bpe_lowers_a_dotted_capital_i_like_the_library():
+    e = bpe.Encoder(tokenizer_file("word_bpe_49k.json"))
+    texts = ["ab\u0130. cd", "\u0130, x", " \u0130!! a", "q\u0130.\u0130 r"]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        whole = e.t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<i4").tolist() == whole and e.spans(text).ids.tolist() == whole
+
+
+def test_bpe_of_many_different_words_holds_few_of_them():
+    import tracemalloc
+
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(15_000)) for _ in range(30)]
+    e = bpe.Encoder(tokenizer_file("word_bpe_49k.json"))
+    tracemalloc.start()
+    last = e.encode(texts[:10]) and e.encode(texts[10:20]) and e.encode(texts[20:])[-1]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 45e6
+    assert np.frombuffer(last, "<i4").tolist() == e.t.encode(texts[-1], add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_joins_of_unsplit_text_are_exact(name):
     e = bpe.Encoder(tokenizer_file(name))
