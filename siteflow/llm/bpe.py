@@ -262,6 +262,9 @@ class Encoder:
         return Spans(got[:, 0].astype("<i4"), got[:, 1] + base, got[:, 2] + base)
 
 
+WIDTHS = {1: "u1", 2: "<u2", 4: "<u4", 8: "<i8"}
+
+
 class Spans:
     """Tokens of a stretch of text with their places."""
 
@@ -279,6 +282,22 @@ class Spans:
         return Spans(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("ids", "start", "end")))
 
 
+def pack(spans: Spans) -> list[bytes]:
+    """Ids, steps from start to start and lengths, each in the narrowest integers that hold them, after their width."""
+    out = []
+    for x in (spans.ids, np.diff(spans.start, prepend=0), spans.end - spans.start):
+        low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+        width = 8 if low < 0 or high >= 1 << 32 else 1 if high < 1 << 8 else 2 if high < 1 << 16 else 4
+        out.append(bytes([width]) + x.astype(WIDTHS[width]).tobytes())
+    return out
+
+
+def unpack(ids: bytes, steps: bytes, lengths: bytes) -> Spans:
+    ids_, step, length = (np.frombuffer(x, WIDTHS[x[0]], offset=1).astype("<i8") for x in (ids, steps, lengths))
+    start = np.cumsum(step)
+    return Spans(ids_.astype("<i4"), start, start + length)
+
+
 def _agree(one: Spans, two: Spans, run: int) -> list[tuple[int, int]]:
     """Places (in one, in two) where runs of so many tokens are equal in ids and places."""
     where = {(int(s), int(e), int(i)): k for k, (s, e, i) in enumerate(zip(two.start, two.end, two.ids, strict=True))}
@@ -389,7 +408,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
 
     # Long texts: leaves are rows of their own; the key is unique in a run and made and used by the same stage.
     key, no = "__text", "__leaf"
-    leaf = T.StructType([T.StructField(key, T.LongType()), T.StructField(no, T.LongType()), T.StructField("piece", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("start", T.BinaryType()), T.StructField("end", T.BinaryType())])
+    leaf = T.StructType([T.StructField(key, T.LongType()), T.StructField(no, T.LongType()), T.StructField("piece", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("steps", T.BinaryType()), T.StructField("lengths", T.BinaryType())])
     long = docs.where(n > long_chars).withColumn(key, F.monotonically_increasing_id())
     cut = f"transform(sequence(0, cast(({{n}} - 1) div {leaf_chars} as int)), i -> substring({{t}}, i * {leaf_chars} + 1, {leaf_chars}))"
     rest = [c for c in names if c != text]
@@ -398,15 +417,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     # only the first leaf carries the other columns
     leaves = leaves.withColumn("rest", F.when(F.col(no) == 0, F.col("rest"))).withColumn(no, F.col(no).cast("long"))
     leaves = leaves.repartition(F.col(key), F.col(no))
-    coded = T.StructType([f for f in leaves.schema] + [leaf["ids"], leaf["start"], leaf["end"]])
+    coded = T.StructType([f for f in leaves.schema] + [leaf["ids"], leaf["steps"], leaf["lengths"]])
     at = leaves.columns.index("piece")
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
             for batch in _slices(whole, at, CHARS):
-                found = [enc.spans(x) for x in batch.column(at).to_pylist()]
-                cols = [pa.array([getattr(s, k).astype("<i4").tobytes() for s in found], pa.binary()) for k in ("ids", "start", "end")]
+                found = [pack(enc.spans(x)) for x in batch.column(at).to_pylist()]
+                cols = [pa.array(x, pa.binary()) for x in zip(*found)]
                 yield pa.RecordBatch.from_arrays(list(batch.columns) + cols, names=coded.names)
         enc.forget()
 
@@ -417,7 +436,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
         table = table.sort_by(no)
         pieces = table.column("piece").to_pylist()
         bounds = [0, *np.cumsum([len(p) for p in pieces]).tolist()]
-        spans = [Spans(np.frombuffer(i, "<i4"), np.frombuffer(s, "<i4").astype("<i8"), np.frombuffer(e, "<i4").astype("<i8")).shift(b) for i, s, e, b in zip(*(table.column(k).to_pylist() for k in ("ids", "start", "end")), bounds[:-1], strict=True)]
+        spans = [unpack(i, s, n).shift(b) for i, s, n, b in zip(*(table.column(k).to_pylist() for k in ("ids", "steps", "lengths")), bounds[:-1], strict=True)]
         whole = "".join(pieces)
         ids_ = join_tree(enc, whole, spans, bounds).ids.astype("<i4").tobytes()
         return pa.Table.from_arrays([table.column("rest").slice(0, 1), pa.array([whole], pa.string()), *finish(enc, [ids_])], names=out_key.names)

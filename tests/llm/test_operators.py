@@ -68,6 +68,19 @@ def test_bpe_of_many_different_words_holds_few_of_them():
     assert np.frombuffer(last, "<i4").tolist() == e.t.encode(texts[-1], add_special_tokens=False).ids
 
 
+def test_bpe_leaves_are_packed_small_and_whole():
+    e = bpe.Encoder(tokenizer_file("word_bpe_49k.json"))
+    for text in [words(3000, 12), "日本 é " * 50, "a" + " " * 300 + "b", "a" + " " * 70_000 + "b", "", "ß" * 400, "\u0130. e\u0301 ǅ"]:
+        spans = e.spans(text)
+        packed = bpe.pack(spans)
+        again = bpe.unpack(*packed)
+        for one, two in ((spans.ids, again.ids), (spans.start, again.start), (spans.end, again.end)):
+            assert one.tolist() == two.tolist()
+    assert sum(map(len, bpe.pack(e.spans(words(3000, 12))))) < 5 * len(e.spans(words(3000, 12)).ids)
+    odd = bpe.Spans(np.array([70_000, 1], "<i4"), np.array([5, 3]), np.array([4, 1 << 33]))
+    assert [x.tolist() for x in vars(bpe.unpack(*bpe.pack(odd))).values()] == [[70_000, 1], [5, 3], [4, 1 << 33]]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_joins_of_unsplit_text_are_exact(name):
     e = bpe.Encoder(tokenizer_file(name))
