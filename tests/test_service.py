@@ -256,3 +256,59 @@ def test_medians_without_a_matrix(monkeypatch):
     monkeypatch.setattr(placement, "BLOCK", 1000)
     assert placement.p_median(placement.Apart(lat, lng, lat[:40], lng[:40]), w, 5) == want
     assert placement.cover_trajectory(lat, lng, w, lat[:40], lng[:40], 20.0, 3)[0] == placement.max_cover(d, w, 20.0, 3)
+
+
+def test_dbscan_without_all_near_pairs():
+    """Clumps of rows within the radius need no list of their pairs; labels equal the whole-matrix ones at any radius."""
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    for eps in (0.0, 1e-3, 0.5, 3.0, 300.0, 1500.0, 30000.0):
+        lat, lng = r.uniform(-90, 90, 500), r.uniform(-180, 180, 500)
+        lat[:40], lng[:40] = lat[40], lng[40]
+        lat[40:200], lng[40:200] = r.normal(-22.5, 0.02, 160), r.normal(-43, 0.02, 160)
+        lat[200:240], lng[240:280] = r.uniform(89.9, 90, 40), r.choice([-180, 180], 40)
+        assert (placement.dbscan_near(lat, lng, eps) == placement.dbscan(placement.distances(lat, lng, lat, lng), eps)).all(), eps
+    lat, lng = np.concatenate([r.normal(-22.5, 0.003, 4000), [-22.0]]), np.concatenate([r.normal(-43, 0.003, 4000), [-43.0]])
+    tracemalloc.start()
+    got = placement.dbscan_near(lat, lng, 3.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[:-1] == 0).all() and got[-1] == -1 and peak < 30_000_000
+
+
+def test_average_linkage_of_far_clusters_by_series():
+    """Clusters that stand apart need no distances of their points; the series gives the same means."""
+    r = np.random.default_rng(7)
+    for wide, some in ((1, True), (6, True), (40, False)):
+        lat, lng = -23 + wide * r.uniform(0, 1, 2500), -44 + wide * r.uniform(0, 1.7, 2500)
+        found = placement.Clusters(lat, lng, "average")
+        found.search(np.arange(len(found)))
+        while len(found) > 100:
+            found.merge()
+            found.search(found.stale)
+        got, ends, waves = found.matrix(), np.cumsum(found.many), placement.Waves(found)
+        part = [found.points[b - n : b] for n, b in zip(found.many, ends)]
+        want = np.array([[placement.R * 2 * np.arcsin(np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)) / 2 / placement.R).mean() for y in part] for x in part])
+        np.fill_diagonal(want, 0)
+        assert np.allclose(got, want, rtol=1e-8, atol=1e-9)
+        assert any(waves.apart(a, np.arange(a + 1, len(found))).any() for a in range(len(found) - 1)) == some
+    lat, lng = r.normal(-22.5, 0.3, 400), r.normal(-43, 0.3, 400)
+    lat[:100], lng[:100] = lat[100], lng[100]  # a place of many rows
+    d = placement.distances(lat, lng, lat, lng)
+    for m in ("complete", "average"):
+        assert len(set(zip(placement.chain(lat, lng, m, 12, 40), placement.agglomerate(d, m, 12)))) == 12
+
+
+def test_medians_make_near_distances_only(monkeypatch):
+    r = np.random.default_rng(8)
+    lat, lng, w = r.uniform(-23, -22, 6000), r.uniform(-44, -42, 6000), r.integers(1, 9, 6000).astype(float)
+    made, of = [], placement.Apart.of
+    monkeypatch.setattr(placement, "BLOCK", 6000)
+    monkeypatch.setattr(placement.Apart, "of", lambda self, rows, columns: made.append(of(self, rows, columns)) or made[-1])
+    some, all_ = (placement.Apart(lat, lng, lat[:60], lng[:60]) for _ in range(2))
+    all_.low[:] = -np.inf
+    got = placement.p_median(some, w, 12)
+    few = sum(x.size for x in made)
+    assert got == placement.p_median(all_, w, 12) == placement.p_median(placement.distances(lat, lng, lat[:60], lng[:60]), w, 12)
+    assert few < 0.5 * (sum(x.size for x in made) - few)
